@@ -1,0 +1,78 @@
+"""Fault injection for cleaning and ingest drills, as a transform of good records."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from kerbline import fixed
+from kerbline.functions.cells import pick, unit_draw
+
+NULLABLE = ["speed_kmh", "congestion", "vehicle_type", "weather", "vehicle_count"]
+BATCH_FAULTS = ["null_speed", "null_congestion", "wrong_type", "out_of_range"]
+STREAM_FAULTS = ["null_fields", "corrupt_json", "duplicate", "wrong_type"]
+
+
+def _fault(key: Column, share: float, kinds: list[str], seed: int) -> Column:
+    """The kind of fault a row gets, null for most; decided by the row's key alone."""
+    return F.when(unit_draw(key, seed) < share, pick(kinds, unit_draw(key, seed + 1)))
+
+
+def inject_batch_faults(df: DataFrame, share: float = 0.1, seed: int = 7) -> DataFrame:
+    """Give about ``share`` of the records one of four faults.
+
+    The count becomes text, because a wrong type is one of the faults; cleaning casts it back.
+    """
+    fault = _fault(F.col("event_id"), share, BATCH_FAULTS, seed)
+    return (
+        df.withColumn("_fault", fault)
+        .withColumns(
+            {
+                "speed_kmh": F.when(F.col("_fault") == "null_speed", F.lit(None))
+                .when(F.col("_fault") == "out_of_range", fixed.OUT_OF_RANGE_SPEED)
+                .otherwise(F.col("speed_kmh")),
+                "congestion": F.when(F.col("_fault") == "null_congestion", F.lit(None)).otherwise(F.col("congestion")),
+                "vehicle_count": F.when(F.col("_fault") == "wrong_type", "many").otherwise(
+                    F.col("vehicle_count").cast("string")
+                ),
+                "record_type": F.when(F.col("_fault").isNotNull(), "adversarial").otherwise("normal"),
+            }
+        )
+        .drop("_fault")
+    )
+
+
+def inject_stream_faults(df: DataFrame, share: float = 0.1, seed: int = 7) -> DataFrame:
+    """Records as JSON text in ``value``, about ``share`` of them broken.
+
+    One of: one to three fields null, text that is no JSON, one id shared by many records, wrong types.
+    """
+    key = F.col("event_id")
+    kind = F.coalesce(F.col("_fault"), F.lit("normal"))
+    # The first to third of the nullable fields, counted from a drawn start.
+    start = F.floor(unit_draw(F.col("_key"), seed + 2) * len(NULLABLE))
+    width = F.floor(unit_draw(F.col("_key"), seed + 3) * 3) + 1
+
+    def shown(name: str) -> Column:
+        value = F.col(name)
+        if name == "event_id":
+            return F.when(kind == "duplicate", fixed.DUPLICATE_ID).otherwise(value)
+        if name in NULLABLE:
+            place = F.pmod(F.lit(NULLABLE.index(name)) - start, F.lit(len(NULLABLE)))
+            value = F.when((kind == "null_fields") & (place < width), F.lit(None)).otherwise(value)
+        return value
+
+    names = [f.name for f in fixed.SENSOR_SCHEMA if f.name in df.columns and f.name not in ("record_type",)]
+    good = F.struct(*[shown(n).alias(n) for n in names], kind.alias("record_type"))
+    wrong = {"speed_kmh": "FAST", "vehicle_count": "many"}
+    wrong_typed = F.struct(
+        *[(F.lit(wrong[n]) if n in wrong else F.col(n)).alias(n) for n in names], kind.alias("record_type")
+    )
+    keep_nulls = {"ignoreNullFields": "false"}
+    value = (
+        F.when(kind == "corrupt_json", F.concat(F.lit("{ broken json ::::"), F.col("_key")))
+        .when(kind == "wrong_type", F.to_json(wrong_typed, keep_nulls))
+        .otherwise(F.to_json(good, keep_nulls))
+    )
+    marked = df.withColumn("_key", key).withColumn("_fault", _fault(key, share, STREAM_FAULTS, seed))
+    return marked.select(F.col("_key").alias("source_id"), kind.alias("fault"), value.alias("value"))
