@@ -108,4 +108,4 @@ def unit_draw(key: Column, seed: int) -> Column:
 
 def pick(choices: list, draw: Column) -> Column:
     """One of a few literals, chosen by a draw in [0, 1)."""
-    return F.array(*[F.lit(c) for c in choices]).getItem(F.floor(draw * len(choices)).cast("int"))
+    return F.get(F.array(*[F.lit(c) for c in choices]), F.floor(draw * len(choices)).cast("int"))

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from kerbline import fixed
 from kerbline.functions.cells import pick, scoring_text, unit_draw
+from kerbline.session import pin
 
 UNKNOWN_LABEL = "__unknown"
+CLASSES_AT_ONCE = 4
+ROWS_PER_TASK = 10_000
 
 
 def labelled(df: DataFrame) -> DataFrame:
@@ -30,7 +33,8 @@ def build_text_classifier(classifier: str = "logreg") -> Pipeline:
     if classifier == "logreg":
         last = LogisticRegression(maxIter=100, regParam=0.01, elasticNetParam=0.0, family="multinomial", **shared)
     elif classifier == "svm":
-        last = OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01, **shared), **shared)
+        one = LinearSVC(maxIter=100, regParam=0.01, **shared)
+        last = OneVsRest(classifier=one, parallelism=CLASSES_AT_ONCE, **shared)
     else:
         raise ValueError(f"unknown classifier {classifier!r}: logreg or svm")
     return Pipeline(
@@ -45,6 +49,28 @@ def build_text_classifier(classifier: str = "logreg") -> Pipeline:
     )
 
 
+def text_features(train: DataFrame, classifier: str = "logreg") -> tuple[PipelineModel, DataFrame]:
+    """The fitted stages before the classifier, and the training rows they give.
+
+    Fitting reads its rows once per iteration and tries many. The rows are pinned, so that a lost
+    executor costs a read and not the whole preparation, and a small set is put in few tasks, where
+    an iteration would otherwise be all scheduling.
+    """
+    front = Pipeline(stages=build_text_classifier(classifier).getStages()[:-1]).fit(train)
+    rows = pin(front.transform(train).select("label", "features"))
+    tasks = -(-rows.count() // ROWS_PER_TASK)
+    return front, rows.coalesce(max(tasks, 1))
+
+
+def fit_classifier(front: PipelineModel, rows: DataFrame, classifier: str = "logreg") -> PipelineModel:
+    last = build_text_classifier(classifier).getStages()[-1]
+    return PipelineModel([*front.stages, last.fit(rows)])
+
+
+def fit_text_classifier(train: DataFrame, classifier: str = "logreg") -> PipelineModel:
+    return fit_classifier(*text_features(train, classifier), classifier)
+
+
 def split_train_test(df: DataFrame, key: str, train_share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """A seeded split decided by each row's key: stable under any partitioning, without a sort."""
     in_train = unit_draw(F.col(key), seed) < train_share
@@ -96,7 +122,7 @@ def train_and_evaluate(
     train: DataFrame, test: DataFrame, classifier: str = "logreg", condition: str = "clean"
 ) -> tuple[PipelineModel, Row]:
     started = time.perf_counter()
-    model = build_text_classifier(classifier).fit(train)
+    model = fit_text_classifier(train, classifier)
     scores = evaluate(model.transform(test)).first()
     elapsed = round(time.perf_counter() - started, 2)
     return model, Row(

@@ -379,7 +379,7 @@ def ml_noisy_labels(spark, sf_dir):
 def _classified(classifier: str):
     def query(spark, sf_dir):
         train, test = ml.split_train_test(ml.labelled(views.quality_corpus(spark, sf_dir)), "doc_id")
-        model = ml.build_text_classifier(classifier).fit(train)
+        model = ml.fit_text_classifier(train, classifier)
         named = ml.with_predicted_severity(model.transform(test), model)
         return named.select("doc_id", "severity", "predicted_severity")
 
@@ -400,7 +400,7 @@ def ml_score_features(spark, sf_dir):
     records = views.sensor_scores(spark, sf_dir)
     corpus = records.select("event_id", cells.scoring_text().alias("text"), F.col("severity_label").alias("severity"))
     path = scratch_path(spark, "model")
-    ml.build_text_classifier("logreg").fit(corpus).write().overwrite().save(path)
+    ml.fit_text_classifier(corpus, "logreg").write().overwrite().save(path)
     return shown(ml.score(records, readers.load_model(path)))
 
 
