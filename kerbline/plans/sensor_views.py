@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A text table with work for every core.
+    """A table whose rows are costly to read, with work for every core.
 
     A scan that has fewer splits than there are cores is hashed out once by key. A large table has
     more splits than cores and is left as it is read.
@@ -117,7 +117,7 @@ def as_json_text(raw: DataFrame) -> DataFrame:
 
 
 def sensor_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_json_text(sensor_raw(spark, sf_dir))
+    return as_json_text(as_sensor(text_table(spark, sf_dir, "events", "event_id")))
 
 
 def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
