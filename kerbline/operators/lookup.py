@@ -27,23 +27,33 @@ def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return measured(dim, max_rows)[1]
 
 
-def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def lookup(
+    fact: DataFrame,
+    dim: DataFrame,
+    keys: list[str],
+    max_rows: int = MAX_BROADCAST_ROWS,
+    small: bool | None = None,
+) -> DataFrame:
     """Left join ``fact`` to ``dim``, which has one row per key; null is a key like any other.
 
-    A measured, small ``dim`` is broadcast and ``fact`` is not shuffled. Otherwise the hot keys,
-    which are at most ``HOT_SHARE`` because each holds more than that share of the rows, are looked
-    up in a broadcast of just their rows, and only the remaining, evenly spread rows are shuffled.
+    A small ``dim`` (measured here unless the caller did) is broadcast and ``fact`` is not shuffled.
+    Otherwise the hot keys, which are at most ``HOT_SHARE`` because each holds more than that share
+    of the rows, are looked up apart in just their rows of ``dim``, and only the remaining, evenly
+    spread rows are shuffled by key.
     """
-    if fits_broadcast(dim, max_rows):
+    if fits_broadcast(dim, max_rows) if small is None else small:
         return _left(fact, F.broadcast(dim), keys)
     counts = pin(fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
     total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
     hot_keys = F.broadcast(counts.where(F.col("_rows") * HOT_SHARE > total).select(*keys))
-    hot = _left(
-        _matching(fact, hot_keys, keys, "left_semi"),
-        F.broadcast(_matching(dim, hot_keys, keys, "left_semi")),
-        keys,
-    )
+    hot_fact = _matching(fact, hot_keys, keys, "left_semi")
+    hot_dim = pin(_matching(dim, hot_keys, keys, "left_semi"))
+    if fits_broadcast(hot_dim):
+        hot = _left(hot_fact, F.broadcast(hot_dim), keys)
+    else:
+        # Few rows, but wide ones: a copy per shard instead of one on every executor.
+        sharded = hot_fact.withColumn("_shard", _shard_of(F.struct("*")))
+        hot = _left(sharded, _copied(hot_dim), [*keys, "_shard"]).drop("_shard")
     # Size estimates do not see what an explode adds, so the planner is told not to broadcast.
     cold = _left(_matching(fact, hot_keys, keys, "left_anti"), dim.hint("merge"), keys)
     return hot.unionByName(cold)
@@ -59,9 +69,16 @@ def spread_join(
     """
     if fits_broadcast(few) if small is None else small:
         return many.join(F.broadcast(few), key)
-    sharded = many.withColumn("_shard", F.pmod(F.xxhash64(spread_by), F.lit(SHARDS)).cast("int"))
-    copies = few.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
-    return sharded.join(copies.hint("merge"), [key, "_shard"]).drop("_shard")
+    sharded = many.withColumn("_shard", _shard_of(F.col(spread_by)))
+    return sharded.join(_copied(few), [key, "_shard"]).drop("_shard")
+
+
+def _shard_of(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(SHARDS)).cast("int")
+
+
+def _copied(df: DataFrame) -> DataFrame:
+    return df.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)))).hint("merge")
 
 
 def _same(left: str, right: str, keys: list[str]) -> Column:

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kerbline.operators.lookup import MAX_BROADCAST_ROWS, fits_broadcast, lookup, spread_join
+from kerbline.operators.lookup import MAX_BROADCAST_ROWS, fits_broadcast, lookup, measured, spread_join
 from kerbline.session import pin
 
 MAX_INLINE_QUERIES = 1_000
+MAX_INLINE_BYTES = 1024 * 1024
 MAX_INLINE_WORDS = 256  # beyond, one search per word and document costs more than tokenizing
+MAX_WORDS_PER_TOKEN = 4_096  # beyond, one search per word and token costs more than cutting tokens up
 WHITE_SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -33,39 +35,42 @@ def retrieve(
     ``queries`` has ``query``; ``docs`` has ``doc_ord`` (unique, document order) and ``text``.
     Documents that match no word are left out; equal scores keep document order.
     """
-    distinct = queries.select("query").where(F.col("query").isNotNull()).distinct()
+    distinct = pin(queries.select("query").where(F.col("query").isNotNull()).distinct())
     inline = _inline(distinct, max_inline)
     scored = _score_inline(inline, docs) if inline is not None else _score_by_tokens(distinct, docs)
     # The rank limit is applied in every task before the shuffle, so a query that matches most
     # documents sends k rows per task, not all of its matches.
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_ord")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    columns = ["query", "rank", "score", "doc_ord", *[c for c in docs.columns if c != "doc_ord"]]
     if inline is not None and len(inline) * k <= MAX_BROADCAST_ROWS:
-        best = F.broadcast(best)
-    return docs.join(best, "doc_ord").select(
-        "query", "rank", "score", "doc_ord", *[c for c in docs.columns if c != "doc_ord"]
-    )
+        return docs.join(F.broadcast(best), "doc_ord").select(*columns)
+    best = pin(best)
+    if fits_broadcast(best):
+        return docs.join(F.broadcast(best), "doc_ord").select(*columns)
+    return lookup(best, docs, ["doc_ord"], small=False).select(*columns)
 
 
 def contexts(
     queries: DataFrame, docs: DataFrame, k: int, width: int, default: str, max_inline: int = MAX_INLINE_QUERIES
 ) -> DataFrame:
     """One row per distinct query with the cut texts of its k best documents, or the default text."""
-    found = retrieve(queries, docs, k, max_inline)
+    distinct = pin(queries.select("query").distinct())
+    found = retrieve(distinct, docs, k, max_inline)
     parts = F.sort_array(F.collect_list(F.struct("rank", F.substring("text", 1, width).alias("cut"))))
     joined = found.groupBy("query").agg(F.array_join(F.transform(parts, lambda p: p.cut), "; ").alias("context"))
-    return (
-        queries.select("query")
-        .distinct()
-        .join(joined, "query", "left")
-        .select("query", F.coalesce("context", F.lit(default)).alias("context"))
+    return distinct.join(joined, "query", "left").select(
+        "query", F.coalesce("context", F.lit(default)).alias("context")
     )
 
 
 def _inline(distinct: DataFrame, max_inline: int) -> list | None:
-    """The queries and their words if they are few and short, read with a limit; else nothing."""
-    rows = distinct.select("query", words_of(F.col("query")).alias("words")).limit(max_inline + 1).collect()
-    if len(rows) > max_inline or len({w for r in rows for w in r["words"]}) > MAX_INLINE_WORDS:
+    """The queries and their words if few and short, else nothing; measured before they are read."""
+    size = distinct.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("query")).alias("bytes")).first()
+    if size["rows"] > max_inline or (size["bytes"] or 0) > MAX_INLINE_BYTES:
+        return None
+    rows = distinct.select("query", words_of(F.col("query")).alias("words")).collect()
+    if len({w for r in rows for w in r["words"]}) > MAX_INLINE_WORDS:
         return None
     return [(r["query"], r["words"]) for r in rows]
 
@@ -116,14 +121,20 @@ def _score_by_tokens(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _words_in_tokens(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
-    """``token`` and, in ``held``, the words that occur in it: every piece of a token that is as long
-    as some word is compared with the words by equality. A token has few pieces, so the list is short."""
-    sizes = words.agg(F.collect_set(F.length("word")).alias("sizes")).first()["sizes"]
-    longest = max(sizes, default=0)
+    """``token`` and, in ``held``, the words that occur in it; a token has few pieces, so the list is short."""
     # The vocabulary is small in bytes but costly per row: pinned first, a fixed width then keeps it
     # from being merged into a few tasks.
     width = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = pin(vocabulary).repartition(width, "token")
+    number, small = measured(words)
+    if small and number <= MAX_WORDS_PER_TOKEN:
+        listed = F.from_json(
+            F.lit(json.dumps([r["word"] for r in words.collect()])), F.lit("array<string>")
+        )
+        return spread.select("token", F.filter(listed, lambda w: F.contains(F.col("token"), w)).alias("held"))
+    # Every piece of a token that is as long as some word is compared with the words by equality.
+    sizes = words.agg(F.collect_set(F.length("word")).alias("sizes")).first()["sizes"]
+    longest = max(sizes, default=0)
     tails = spread.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("start")).select(
         "token", F.substring("token", F.col("start"), F.lit(longest)).alias("tail")
     )
@@ -133,5 +144,5 @@ def _words_in_tokens(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     pieces = tails.select("token", "tail", F.explode(usable).alias("size")).select(
         "token", F.substring("tail", F.lit(1), F.col("size")).alias("word")
     )
-    known = F.broadcast(words) if fits_broadcast(words) else words
-    return pieces.join(known, "word", "left_semi").groupBy("token").agg(F.collect_set("word").alias("held"))
+    known = lookup(pieces, words.withColumn("_known", F.lit(True)), ["word"], small=small).where(F.col("_known"))
+    return known.groupBy("token").agg(F.collect_set("word").alias("held"))

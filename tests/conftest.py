@@ -37,4 +37,5 @@ def force_large(monkeypatch):
 
     for module in (lookup, retrieval):
         monkeypatch.setattr(module, "fits_broadcast", lambda *args, **kwargs: False)
-    monkeypatch.setattr(graph, "measured", lambda df, *args: (df.count(), False))
+    for module in (graph, retrieval):
+        monkeypatch.setattr(module, "measured", lambda df, *args: (df.count(), False))

@@ -24,6 +24,13 @@ def test_large_tables_give_the_same_as_small_ones(spark):
     assert values == {None: 2, "hot": 1, "5": 3, "11": None}
 
 
+def test_wide_rows_of_hot_keys(spark, monkeypatch):
+    fact, dim = tables(spark)
+    expected = bag(joins.lookup(fact, dim, ["k"]))
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *args: False)
+    assert bag(joins.lookup(fact, dim, ["k"])) == expected
+
+
 def test_several_keys(spark):
     fact = spark.createDataFrame([("a", 1), ("a", None), ("b", 1)], "x string, y int")
     dim = spark.createDataFrame([("a", 1, "p"), ("a", None, "q")], "x string, y int, z string")

@@ -39,8 +39,9 @@ def test_few_queries(spark, k):
     assert run(spark, QUERIES, DOCS, k) == {q: brute(q, DOCS, k) for q in QUERIES}
 
 
-@pytest.mark.parametrize("k", [1, 10])
-def test_many_queries(spark, k):
+@pytest.mark.parametrize("k, per_token", [(1, 4096), (10, 0)])
+def test_many_queries(spark, k, per_token, monkeypatch):
+    monkeypatch.setattr(retrieval, "MAX_WORDS_PER_TOKEN", per_token)
     assert run(spark, QUERIES, DOCS, k, max_inline=1) == {q: brute(q, DOCS, k) for q in QUERIES}
 
 
