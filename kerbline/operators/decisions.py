@@ -9,7 +9,7 @@ from kerbline import fixed
 from kerbline.functions.cells import cases
 from kerbline.operators.graph import alert_text, nearest_target, with_neighbors
 from kerbline.operators.lookup import lookup
-from kerbline.operators.retrieval import contexts
+from kerbline.operators.retrieval import cut_texts, retrieve
 from kerbline.session import pin
 
 PROFILE = ["congestion", "vehicle_type", "weather", "is_emergency", "_label"]
@@ -110,16 +110,23 @@ def with_contexts(prepared: DataFrame, policies: DataFrame, protocols: DataFrame
             "_signal_query": signal_query(severity, recommended_action(severity)),
         }
     )
+
+    def asked(query_col: str) -> DataFrame:
+        return profiles.select(F.col(query_col).alias("query")).distinct()
+
+    # Vehicle and signal queries go to the same documents, so one retrieval serves both.
+    policy_queries = asked("_vehicle_query").union(asked("_signal_query"))
+    from_policies = pin(retrieve(policy_queries, policies, k=2).select("query", "rank", "text"))
+    from_protocols = retrieve(asked("_incident_query"), protocols, k=1)
     wanted = [
-        ("_vehicle_query", "vehicle_context", policies, 2, 80, fixed.NO_POLICY_TEXT),
-        ("_incident_query", "protocol", protocols, 1, 100, fixed.NO_PROTOCOL_TEXT),
-        ("_signal_query", "signal_context", policies, 1, 80, fixed.NO_TIMING_TEXT),
+        ("_vehicle_query", "vehicle_context", from_policies, 2, 80, fixed.NO_POLICY_TEXT),
+        ("_incident_query", "protocol", from_protocols, 1, 100, fixed.NO_PROTOCOL_TEXT),
+        ("_signal_query", "signal_context", from_policies, 1, 80, fixed.NO_TIMING_TEXT),
     ]
     texts = profiles
-    for query_col, name, docs, k, width, default in wanted:
-        asked = profiles.select(F.col(query_col).alias("query"))
-        found = contexts(asked, docs, k, width, default).toDF(query_col, name)
-        texts = texts.join(found, query_col, "left")
+    for query_col, name, found, k, width, default in wanted:
+        cut = cut_texts(asked(query_col), found, k, width, default).toDF(query_col, name)
+        texts = texts.join(cut, query_col, "left")
     texts = texts.drop(*[query_col for query_col, *_ in wanted])
     return lookup(prepared, pin(texts), PROFILE)
 

@@ -19,6 +19,7 @@ MAX_INLINE_QUERIES = 1_000
 MAX_INLINE_BYTES = 1024 * 1024
 MAX_INLINE_WORDS = 256  # beyond, one search per word and document costs more than tokenizing
 MAX_WORDS_PER_TOKEN = 4_096  # beyond, one search per word and token costs more than cutting tokens up
+CHUNK = 256
 WHITE_SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -56,9 +57,14 @@ def contexts(
 ) -> DataFrame:
     """One row per distinct query with the cut texts of its k best documents, or the default text."""
     distinct = pin(queries.select("query").distinct())
-    found = retrieve(distinct, docs, k, max_inline)
-    parts = F.sort_array(F.collect_list(F.struct("rank", F.substring("text", 1, width).alias("cut"))))
-    joined = found.groupBy("query").agg(F.array_join(F.transform(parts, lambda p: p.cut), "; ").alias("context"))
+    return cut_texts(distinct, retrieve(distinct, docs, k, max_inline), k, width, default)
+
+
+def cut_texts(distinct: DataFrame, found: DataFrame, k: int, width: int, default: str) -> DataFrame:
+    """``query`` and ``context`` from documents retrieved before, of which the first k count."""
+    cut = F.struct("rank", F.substring("text", 1, width).alias("cut"))
+    parts = F.transform(F.sort_array(F.collect_list(cut)), lambda p: p.cut)
+    joined = found.where(F.col("rank") <= k).groupBy("query").agg(F.array_join(parts, "; ").alias("context"))
     return distinct.join(joined, "query", "left").select(
         "query", F.coalesce("context", F.lit(default)).alias("context")
     )
@@ -125,7 +131,8 @@ def _words_in_tokens(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     # The vocabulary is small in bytes but costly per row: pinned first, a fixed width then keeps it
     # from being merged into a few tasks.
     width = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = pin(vocabulary).repartition(width, "token")
+    numbered = pin(vocabulary.withColumn("_token", F.monotonically_increasing_id()))
+    spread = numbered.repartition(width, "_token")
     number, small = measured(words)
     if small and number <= MAX_WORDS_PER_TOKEN:
         listed = F.from_json(
@@ -133,16 +140,24 @@ def _words_in_tokens(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
         )
         return spread.select("token", F.filter(listed, lambda w: F.contains(F.col("token"), w)).alias("held"))
     # Every piece of a token that is as long as some word is compared with the words by equality.
+    # Tokens are cut into overlapping chunks first, so that a very long one is not copied per piece.
     sizes = words.agg(F.collect_set(F.length("word")).alias("sizes")).first()["sizes"]
-    longest = max(sizes, default=0)
-    tails = spread.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("start")).select(
-        "token", F.substring("token", F.col("start"), F.lit(longest)).alias("tail")
+    longest = max(sizes, default=1)
+    chunks = F.transform(
+        F.sequence(F.lit(1), F.length("token"), F.lit(CHUNK)),
+        lambda start: F.substring("token", start, F.lit(CHUNK + longest - 1)),
+    )
+    cut = spread.select("_token", F.explode(chunks).alias("chunk"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("chunk")))
+    tails = cut.select("_token", "chunk", starts.alias("start")).select(
+        "_token", F.substring("chunk", F.col("start"), F.lit(longest)).alias("tail")
     )
     usable = F.filter(
         F.from_json(F.lit(json.dumps(sorted(sizes))), F.lit("array<int>")), lambda n: n <= F.length("tail")
     )
-    pieces = tails.select("token", "tail", F.explode(usable).alias("size")).select(
-        "token", F.substring("tail", F.lit(1), F.col("size")).alias("word")
+    pieces = tails.select("_token", "tail", F.explode(usable).alias("size")).select(
+        "_token", F.substring("tail", F.lit(1), F.col("size")).alias("word")
     )
     known = lookup(pieces, words.withColumn("_known", F.lit(True)), ["word"], small=small).where(F.col("_known"))
-    return known.groupBy("token").agg(F.collect_set("word").alias("held"))
+    held = known.groupBy("_token").agg(F.collect_set("word").alias("held"))
+    return numbered.join(held, "_token").select("token", "held")

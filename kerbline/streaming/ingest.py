@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from kerbline.functions.cells import arrival_date, arrival_hour
 from kerbline.functions.rules import OK, PARSE_ERROR
 from kerbline.operators.validation import quarantine_records, valid_records, validate
 
 METRICS = "ingest"
+STATUSES = ("valid", "invalid", "parse_error")
 
 
 def checked_stream(stream: DataFrame) -> DataFrame:
@@ -84,7 +85,29 @@ def ingest(
 def progress_counts(query: StreamingQuery) -> dict[str, int]:
     """Valid, invalid and unreadable counts of the last micro-batch."""
     progress = query.lastProgress
-    if not progress:
-        return {"valid": 0, "invalid": 0, "parse_error": 0}
-    row = progress.observedMetrics[METRICS]
-    return {name: row[name] for name in ("valid", "invalid", "parse_error")}
+    return _counts(progress.observedMetrics if progress else {})
+
+
+def _counts(metrics: dict) -> dict[str, int]:
+    row = metrics.get(METRICS)
+    return {name: row[name] if row else 0 for name in STATUSES}
+
+
+class RunningCounts(StreamingQueryListener):
+    """Running totals over all micro-batches; add it with ``spark.streams.addListener``."""
+
+    def __init__(self) -> None:
+        self.totals = dict.fromkeys(STATUSES, 0)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, count in _counts(event.progress.observedMetrics).items():
+            self.totals[name] += count
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -51,7 +51,8 @@ def test_many_queries_and_large_tables(spark, force_large):
     word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
     # one token in every document, as a stop word would be
     docs = [" ".join(["the", *[word() for _ in range(rng.randint(0, 30))]]) for _ in range(60)]
-    queries = sorted({" ".join([word(), word(), rng.choice(["the", "he"])]) for _ in range(25)})
+    docs.append("a" * 700 + "á" + "b" * 700 + " the")  # a token longer than several chunks
+    queries = sorted({" ".join([word(), word(), rng.choice(["the", "he"])]) for _ in range(25)} | {"a" * 300 + " aaáb", "aáb"})
     assert run(spark, queries, docs, 3, max_inline=1) == {q: brute(q, docs, 3) for q in queries}
 
 

@@ -1,4 +1,5 @@
 import json
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from kerbline.plans import sensor_views as views
 from kerbline.sources import readers
 from kerbline.streaming import ingest as ingest_module
 from kerbline.streaming.dedup import dedup_stream, untimed_events
-from kerbline.streaming.ingest import ingest, progress_counts
+from kerbline.streaming.ingest import RunningCounts, ingest, progress_counts
 
 
 def drain(spark, root, **kwargs):
@@ -85,6 +86,24 @@ def test_dedup_keeps_one_row_of_a_hot_id_across_batches(spark, tmp_path):
     assert [r.event_id for r in untimed_events(spark.read.parquet(f"{tmp_path}/in")).collect()] == ["none"]
 
 
+def test_running_counts_add_up_over_batches(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"{n}.txt").write_text('broken\n{"event_id": 1}\n')
+    totals = RunningCounts()
+    spark.streams.addListener(totals)
+    try:
+        drain(spark, tmp_path, max_files=1)
+        waited = 0
+        while sum(totals.totals.values()) < 6 and waited < 100:
+            time.sleep(0.1)
+            waited += 1
+    finally:
+        spark.streams.removeListener(totals)
+    assert totals.totals == {"valid": 0, "invalid": 3, "parse_error": 3}
+
+
 def test_topic_options():
     options = readers.kafka_options("host:1", "t", group=None, min_records=7, max_delay="5s")
     assert options == {

@@ -55,6 +55,7 @@ CASES = [
     (json.dumps({**GOOD, "zone": {"a": 1}}), "wrong_type:zone"),
     (json.dumps({**GOOD, "congestion": "gridlock"}), "invalid_congestion_value"),
     (json.dumps({**GOOD, "congestion": "gridlock", "vehicle_count": 501, "speed_kmh": 999}), "speed_out_of_range"),
+    (json.dumps(GOOD)[:-1] + ', "speed_kmh": 999}', "speed_out_of_range"),
     (json.dumps({**GOOD, "event_id": None, "zone": 7}), "null_field:event_id"),
     (json.dumps({**without("zone"), "event_id": None}), "null_field:event_id"),
     *[(json.dumps(without(f)), f"missing_field:{f}") for f in fixed.REQUIRED_FIELDS],
