@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kerbline import fixed
 from kerbline.functions.cells import pick, scoring_text, unit_draw
-from kerbline.session import pin
+from kerbline.session import pin, scratch_path
 
 UNKNOWN_LABEL = "__unknown"
 CLASSES_AT_ONCE = 4
@@ -63,8 +63,12 @@ def text_features(train: DataFrame, classifier: str = "logreg") -> tuple[Pipelin
 
 
 def fit_classifier(front: PipelineModel, rows: DataFrame, classifier: str = "logreg") -> PipelineModel:
-    last = build_text_classifier(classifier).getStages()[-1]
-    return PipelineModel([*front.stages, last.fit(rows)])
+    """The whole model. The classifier is taken back from its saved form: a fresh one carries its
+    training summary into every scoring task, and with it the session, which may not serialize."""
+    fitted = build_text_classifier(classifier).getStages()[-1].fit(rows)
+    path = scratch_path(rows.sparkSession, "classifier")
+    fitted.write().save(path)
+    return PipelineModel([*front.stages, type(fitted).load(path)])
 
 
 def fit_text_classifier(train: DataFrame, classifier: str = "logreg") -> PipelineModel:

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from kerbline import fixed
@@ -17,6 +18,10 @@ def corpus(spark, n=400):
 @pytest.fixture(scope="module")
 def trained(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("model") / "m")
+    # a session that has counted rows while writing, as the ETL job does, before it trains
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+    assert seen.get["rows"] == 3
     model, metrics = ml.run_classifier(corpus(spark), "id", path)
     return model, {(r.classifier, r.condition): r for r in metrics.collect()}, path
 
