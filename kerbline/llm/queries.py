@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, decontaminate, exact_dedup, simhash
+from kerbline.llm import bpe, decontaminate, exact_dedup, language, quality, shards, simhash, toxicity, transcripts, url_filter
+from kerbline.llm.common import delete_on_exit, fold
+from kerbline.session import scratch_path
 
 #: The vocabulary of the byte-level BPE query; a parameter of the operator.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,10 +20,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Fold of crc32(conv_id) that the transcript model does not learn from.
+CHAT_FOLDS, CHAT_HELD_OUT = 5, 0
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns recovered from every message, without use of its stated role; learned from other conversations."""
+    chats = table(spark, sf_dir, "conversations")
+    held_out = fold(F.col("conv_id"), CHAT_FOLDS) == CHAT_HELD_OUT
+    model = transcripts.fit(chats.where(~held_out))
+    turns = transcripts.format_chats(chats, model)
+    return turns.select("conv_id", "turn", "part", held_out.alias("held_out"), "role", "rendered")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.add_score(docs, model, keep=["doc_id"])
+    held_out = fold(F.col("doc_id"), toxicity.HELD_OUT_FOLDS) == toxicity.HELD_OUT_FOLD
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", toxicity.is_toxic(F.col("score")).cast("int").alias("predicted")
+    )
+
+
+#: Rules of the URL filter query.
+URL_RULES = [
+    url_filter.Rule.parse(text, verdict)
+    for text, verdict in [
+        ("com/", "allow"),
+        ("example.com/en/", "block"),
+        ("www.example.com/en/", "allow"),
+        ("net/es/", "block"),
+        ("net/fr/", "block"),
+    ]
+]
+
+
+def pages_by_document(pages: DataFrame) -> DataFrame:
+    """``doc_id, host`` of the pages that show a document: its id is the last number in the path."""
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.html|/)?$", 1)
+    return pages.select(
+        number.try_cast("bigint").alias("doc_id"), url_filter.host_of(F.col("url")).alias("host")
+    ).where("doc_id is not null")
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """``host, bad`` of each page whose document is labelled: 1 if it is toxic or of low quality."""
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    labelled = labels.select("doc_id", bad.alias("bad")).where("bad is not null")
+    return pages_by_document(pages).join(labelled, "doc_id").select("host", "bad")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: whether it holds a benchmark passage, and the items with their edit distances."""
     marked = decontaminate.mark_leaks(
@@ -35,10 +93,40 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+#: Key of the training order, and the layout of its shards.
+ORDER_KEY = "training-order-1"
+SHARD_LAYOUT = shards.Layout()
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every sequence of byte ids of the documents stands, read back from the shards that were written."""
+    path = scratch_path(spark, "training-shards")
+    delete_on_exit(spark, path)
+    shards.write_shards(shards.byte_ids(table(spark, sf_dir, "documents")), path, ORDER_KEY, SHARD_LAYOUT)
+    rows = shards.read_shards(spark, path, SHARD_LAYOUT)
+    return rows.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Fold of crc32(doc_id) that language identification does not learn from.
+LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 3, 1
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), LANGUAGE_FOLDS) == LANGUAGE_HELD_OUT
+    predicted = language.add_language(docs, language.fit(docs.where(~held_out)), keep=["doc_id"])
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = pages_by_document(table(spark, sf_dir, "pages"))
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), hosts)
+
+
 def digests(encoded: DataFrame, tokenizer: bpe.ByteBpe) -> DataFrame:
     decoded = bpe.decode(encoded, tokenizer)
     return decoded.select(
@@ -57,7 +145,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op2_simhash_near_dedup, op5_benchmark_decontamination, op7_exact_dedup, op10_byte_bpe)
+    for query in (
+        op1_chat_formatting,
+        op2_simhash_near_dedup,
+        op3_toxicity,
+        op4_url_filter,
+        op5_benchmark_decontamination,
+        op6_training_order,
+        op7_exact_dedup,
+        op8_language_id,
+        op9_quality,
+        op10_byte_bpe,
+    )
 }
 
 #: SQL for the queries that it can express.
