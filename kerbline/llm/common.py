@@ -18,6 +18,8 @@ from kerbline.session import scratch_path
 
 #: A set of ids is broadcast up to this many rows (a few dozen MB as a hash table of longs).
 BROADCAST_IDS = 1_000_000
+#: Rows a task turns into Python values at a time.
+SLICE_ROWS = 1_000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -74,7 +76,7 @@ def map_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = work()
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             made = compute(*(batch.column(needed.index(name)) for name in inputs))
             yield pa.RecordBatch.from_arrays([*(batch.column(needed.index(name)) for name in keep), *made], names=names)
 

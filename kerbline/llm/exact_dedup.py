@@ -14,6 +14,8 @@ join that splits hot keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +68,20 @@ def cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "words", chunks_of(F.col("words"), F.col("ends")).alias("chunks"))
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
+def occurrences(rows: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
     pieces = rows.select("row", F.posexplode("chunks").alias("at", "chunk"))
-    return pieces.select("row", "at", F.xxhash64("chunk").alias("hash"), "chunk")
+    return pieces.select("row", "at", chunk_hash(F.col("chunk")).alias("hash"), "chunk")
 
 
-def clashing(rows: DataFrame) -> DataFrame:
+def clashing(rows: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
     """Hashes that stand for more than one chunk text. All chunks are compared by their text."""
-    distinct = occurrences(rows).groupBy("hash", "chunk").count()
+    distinct = occurrences(rows, chunk_hash).groupBy("hash", "chunk").count()
     return distinct.groupBy("hash").count().where(F.col("count") > 1).select("hash")
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recipes(
+    docs: DataFrame, id_col: str, text_col: str, chunk_hash: Callable[[Column], Column] = F.xxhash64
+) -> DataFrame:
     """``id, sha, ids, ranks`` per row: the ordered verified identifiers of the text's chunks.
 
     ``ids`` are the hashes of the chunks. ``ranks`` is empty unless a chunk's hash clashes; it then lists the
@@ -86,12 +90,12 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sha = F.sha2(F.array_join("words", " "), 256).alias("sha")
     rows = cut(docs, id_col, text_col).select("id", sha, "chunks", F.monotonically_increasing_id().alias("row"))
     rows = stored(rows, "chunks")
-    clash = stored(clashing(rows), "chunk-clashes")
-    ids = F.transform("chunks", lambda chunk: F.xxhash64(chunk)).alias("ids")
+    clash = stored(clashing(rows, chunk_hash), "chunk-clashes")
+    ids = F.transform("chunks", lambda chunk: chunk_hash(chunk)).alias("ids")
     none = F.array().cast("array<struct<at:int,rank:int>>")
     if clash.isEmpty():
         return rows.select("id", "sha", ids, none.alias("ranks"))
-    found = occurrences(rows).join(clash, "hash")
+    found = occurrences(rows, chunk_hash).join(clash, "hash")
     texts = found.select("hash", "chunk").distinct()
     ranked = texts.withColumn("rank", F.row_number().over(Window.partitionBy("hash").orderBy("chunk")))
     ranks = found.join(ranked, ["hash", "chunk"]).groupBy("row")
@@ -100,9 +104,14 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return joined.select("id", "sha", "ids", F.coalesce("ranks", none).alias("ranks"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chunk_hash: Callable[[Column], Column] = F.xxhash64,
+) -> DataFrame:
     """One row per row of ``docs``: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
-    rows = stored(recipes(docs, id_col, text_col), "chunk-recipes")
+    rows = stored(recipes(docs, id_col, text_col, chunk_hash), "chunk-recipes")
     key = F.xxhash64("ids", "ranks").alias("key")
     groups = rows.groupBy(key, "ids", "ranks").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.withColumnsRenamed({"ids": "group_ids", "ranks": "group_ranks", "key": "group_key"})

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, decontaminate, exact_dedup, language, quality, shards, simhash, toxicity, transcripts, url_filter
+from kerbline.llm import bpe, decontaminate, exact_dedup, language, quality, shards, simhash, sql, toxicity, transcripts, url_filter
 from kerbline.llm.common import delete_on_exit, fold
 from kerbline.session import scratch_path
 
@@ -161,4 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL for the queries that it can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_filter": sql.url_verdicts(URL_RULES),
+    "op7_exact_dedup": sql.EXACT_DEDUP,
+}
