@@ -23,8 +23,9 @@ from kerbline.llm.common import stored
 #: Mean and deviations: the lower bound is the posterior mean minus so many posterior deviations.
 BOUND_DEVIATIONS = 1.64
 BLOCK_SHARE = 0.3
-#: The correlation between pages of one parent's child is kept in this range; it gives prior strengths from 1/99 to 999.
-CORRELATION = (0.001, 0.99)
+#: The correlation between the pages of a child is kept in this range, so that a prior counts as 2 to 999 pages: hosts
+#: that are each of one kind do not let a single outcome decide.
+CORRELATION = (0.001, 1 / 3)
 HOST_ROWS_BROADCAST = 100_000
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
