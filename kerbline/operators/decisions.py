@@ -87,11 +87,18 @@ def signal_query(severity: Column, action: Column) -> Column:
 # ---- composition ------------------------------------------------------------------------------
 
 
+def _label(records: DataFrame, label_col: str) -> Column:
+    """The chosen label where it is a known severity, else the rule label, else ``low``."""
+    names = [name for name in dict.fromkeys((label_col, "severity_label")) if name in records.columns]
+    known = [F.when(F.col(name).isin(*fixed.SEVERITIES), F.col(name)) for name in names]
+    return F.coalesce(*known, F.lit("low"))
+
+
 def _prepared(records: DataFrame, label_col: str) -> DataFrame:
     return records.withColumns(
         {
             "is_emergency": F.col("is_emergency").cast("boolean"),
-            "_label": F.coalesce(F.col(label_col), F.lit("low")) if label_col in records.columns else F.lit("low"),
+            "_label": _label(records, label_col),
         }
     )
 
@@ -219,7 +226,10 @@ def decide(
     default_target: str = fixed.DEFAULT_HOSPITAL,
     label_col: str = "severity_label",
 ) -> DataFrame:
-    """``event_id`` with the nested ``va``, ``ida`` and ``tla`` results of every record.
+    """``event_id`` and ``part`` with the nested ``va``, ``ida`` and ``tla`` results of every record.
+
+    A record has one row, of part 0, unless its intersection has more neighbours than one list takes: then each
+    further part holds the next neighbours and alerts and repeats the rest.
 
     Only small tables (profiles, graph nodes) are computed on the way; the records themselves pass
     through one chain of lookups and expressions and are never collected.
@@ -229,13 +239,13 @@ def decide(
     severity = incident_severity(F.col("_label"), F.col("is_emergency"), F.col("congestion"))
     ruled = enriched.withColumn("_severity", severity).withColumn("_action", recommended_action(F.col("_severity")))
     return ruled.select(
-        "event_id", vehicle_struct().alias("va"), incident_struct().alias("ida"), signal_struct().alias("tla")
+        "event_id", "part", vehicle_struct().alias("va"), incident_struct().alias("ida"), signal_struct().alias("tla")
     )
 
 
 def summarize(decisions: DataFrame) -> DataFrame:
     """The short form of each decision."""
-    return decisions.select(
+    return decisions.where("part = 0").select(
         "event_id",
         F.col("tla.intersection_id").alias("intersection_id"),
         F.col("ida.severity").alias("severity"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kerbline.operators.lookup import lookup, measured, spread_join
 from kerbline.session import pin
 
-MAX_LISTED_SUCCESSORS = 10_000
+LISTED_SUCCESSORS = 10_000
 LEVELS_PER_PIN = 10
 
 
@@ -21,19 +21,20 @@ def successors(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbor"), "ord")
 
 
-def successor_lists(edges: DataFrame, max_listed: int = MAX_LISTED_SUCCESSORS) -> DataFrame:
-    """One row per node with its successors in insertion order, for nested output.
+def successor_lists(edges: DataFrame, listed: int = LISTED_SUCCESSORS) -> DataFrame:
+    """``node, part, hub, neighbors``: the successors of each node in insertion order, for nested output.
 
-    A list has to fit in one row. Out-degrees are counted first, and a graph with a node beyond
-    ``max_listed`` is refused: ``successors`` and ``spillover`` give the same facts as rows, of any
-    size.
+    A node with up to ``listed`` successors has one row. One with more (a hub) has them in several rows, by ranges
+    of ``listed`` insertion numbers; ``part`` counts those ranges from 0. ``ord`` has to be unique per node.
     """
-    widest = edges.groupBy("src").count().agg(F.max("count")).first()[0] or 0
-    if widest > max_listed:
-        raise ValueError(f"a node has {widest} successors, more than {max_listed}; use successors() or spillover()")
+    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_degree"), F.min("ord").alias("_first"))
+    sized = lookup(edges, pin(degrees), ["src"])
+    hub = F.col("_degree") > listed
+    part = F.when(hub, F.floor(F.col("ord") / listed) - F.floor(F.col("_first") / listed)).otherwise(0)
+    parts = sized.select("src", "dst", "ord", hub.alias("hub"), part.cast("int").alias("part")).groupBy("src", "part", "hub")
     ordered = F.sort_array(F.collect_list(F.struct("ord", "dst")))
-    return edges.groupBy("src").agg(ordered.alias("pairs")).select(
-        F.col("src").alias("node"), F.col("pairs.dst").alias("neighbors")
+    return parts.agg(ordered.alias("pairs")).select(
+        F.col("src").alias("node"), "part", "hub", F.col("pairs.dst").alias("neighbors")
     )
 
 
@@ -90,11 +91,26 @@ def _by_levels(start: DataFrame, step, keys: list[str], max_hops: int | None) ->
     return reached
 
 
-def with_neighbors(records: DataFrame, edges: DataFrame, max_listed: int = MAX_LISTED_SUCCESSORS) -> DataFrame:
-    """Add the list of neighbouring nodes; an unknown intersection has none."""
-    lists = successor_lists(edges, max_listed).withColumnRenamed("node", "intersection_id")
-    listed = lookup(records, pin(lists), ["intersection_id"])
-    return listed.withColumn("neighbors", F.coalesce("neighbors", F.array().cast("array<string>")))
+def with_neighbors(records: DataFrame, edges: DataFrame, listed: int = LISTED_SUCCESSORS) -> DataFrame:
+    """Add the list of neighbouring nodes and its ``part``; an unknown intersection has an empty one.
+
+    A record at a hub becomes one row per part of the hub's list, so that no list outgrows a row.
+    """
+    lists = pin(successor_lists(edges, listed).withColumnRenamed("node", "intersection_id"))
+    empty = F.array().cast(lists.schema["neighbors"].dataType)
+    one = lists.where(~F.col("hub")).drop("hub")
+    hubs = lists.where("hub").drop("hub")
+    if hubs.isEmpty():
+        found = lookup(records, one, ["intersection_id"])
+    else:
+        marks = one.withColumn("_hub", F.lit(False)).unionByName(
+            hubs.select("intersection_id").distinct().withColumn("_hub", F.lit(True)), allowMissingColumns=True
+        )
+        marked = lookup(records, pin(marks), ["intersection_id"])
+        at_hubs = marked.where(F.col("_hub")).drop("_hub", "neighbors", "part")
+        spread = spread_join(at_hubs, hubs, "intersection_id", "event_id")
+        found = marked.where(~F.coalesce("_hub", F.lit(False))).drop("_hub").unionByName(spread)
+    return found.withColumns({"neighbors": F.coalesce("neighbors", empty), "part": F.coalesce("part", F.lit(0))})
 
 
 def spillover(records: DataFrame, edges: DataFrame, threshold: float = 75) -> DataFrame:

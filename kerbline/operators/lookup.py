@@ -13,7 +13,6 @@ from kerbline.session import pin
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 1000  # a key is hot when it holds more than one in this many rows
-SHARDS = 64
 
 
 def measured(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[int, bool]:
@@ -37,26 +36,15 @@ def lookup(
     """Left join ``fact`` to ``dim``, which has one row per key; null is a key like any other.
 
     A small ``dim`` (measured here unless the caller did) is broadcast and ``fact`` is not shuffled.
-    Otherwise the hot keys, which are at most ``HOT_SHARE`` because each holds more than that share
-    of the rows, are looked up apart in just their rows of ``dim``, and only the remaining, evenly
-    spread rows are shuffled by key.
+    Otherwise both are shuffled by key, with the hot keys of ``fact`` split into shards and their rows
+    of ``dim`` copied per shard. Besides that, only the key columns of ``fact`` are read once more.
     """
     if fits_broadcast(dim, max_rows) if small is None else small:
         return _left(fact, F.broadcast(dim), keys)
-    counts = pin(fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
-    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    hot_keys = F.broadcast(counts.where(F.col("_rows") * HOT_SHARE > total).select(*keys))
-    hot_fact = _matching(fact, hot_keys, keys, "left_semi")
-    hot_dim = pin(_matching(dim, hot_keys, keys, "left_semi"))
-    if fits_broadcast(hot_dim):
-        hot = _left(hot_fact, F.broadcast(hot_dim), keys)
-    else:
-        # Few rows, but wide ones: a copy per shard instead of one on every executor.
-        sharded = hot_fact.withColumn("_shard", _shard_of(F.struct("*")))
-        hot = _left(sharded, _copied(hot_dim), [*keys, "_shard"]).drop("_shard")
-    # Size estimates do not see what an explode adds, so the planner is told not to broadcast.
-    cold = _left(_matching(fact, hot_keys, keys, "left_anti"), dim.hint("merge"), keys)
-    return hot.unionByName(cold)
+    shards = _hot_shards(fact, keys)
+    # A wide row of ``dim`` is copied once per shard of a hot key, at most twice ``HOT_SHARE`` times in all.
+    sharded = _sharded(fact, shards, keys, F.struct("*"))
+    return _left(sharded, _copied(dim, shards, keys), [*keys, "_shard"]).drop("_shard")
 
 
 def spread_join(
@@ -64,29 +52,45 @@ def spread_join(
 ) -> DataFrame:
     """Inner join on ``key`` in which ``few`` may hold several rows per key.
 
-    A small ``few`` (measured here unless the caller did) is broadcast. A large one is copied once per shard and ``many`` is split into
-    shards by ``spread_by``, so that no key of ``many`` meets in a single task.
+    A small ``few`` (measured here unless the caller did) is broadcast. Otherwise both sides are shuffled by key, and
+    the hot keys of ``many`` are split into shards by ``spread_by``: only their rows of ``few`` are copied, once per shard.
     """
     if fits_broadcast(few) if small is None else small:
         return many.join(F.broadcast(few), key)
-    sharded = many.withColumn("_shard", _shard_of(F.col(spread_by)))
-    return sharded.join(_copied(few), [key, "_shard"]).drop("_shard")
+    shards = _hot_shards(many, [key])
+    sharded = _sharded(many.where(F.col(key).isNotNull()), shards, [key], F.col(spread_by))
+    return sharded.join(_copied(few, shards, [key]), [key, "_shard"]).drop("_shard")
 
 
-def _shard_of(value: Column) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(SHARDS)).cast("int")
+def _hot_shards(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``_shards`` of the hot keys; with that many shards none holds more than the hot share of the rows.
 
+    At most ``HOT_SHARE`` rows, since each stands for more than that share. Only the key columns are read.
+    """
+    counts = pin(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    shares = F.col("_rows") * HOT_SHARE
+    hot = counts.where(shares > total)
+    return hot.select(*keys, F.ceil(shares / F.lit(max(total, 1))).cast("int").alias("_shards"))
 
-def _copied(df: DataFrame) -> DataFrame:
-    return df.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)))).hint("merge")
 
+def _sharded(df: DataFrame, shards: DataFrame, keys: list[str], spread_by: Column) -> DataFrame:
+    """``df`` with its shard; 0 for all keys that are not hot."""
+    numbered = df.withColumn("_spread", F.xxhash64(spread_by))
+    known = _left(numbered, F.broadcast(shards), keys)
+    return known.withColumn("_shard", F.coalesce(F.pmod("_spread", "_shards"), F.lit(0)).cast("int")).drop("_spread", "_shards")
 
-def _same(left: str, right: str, keys: list[str]) -> Column:
-    return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+def _copied(df: DataFrame, shards: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with a copy per shard of its key; one for all keys that are not hot."""
+    known = _left(df, F.broadcast(shards), keys)
+    numbers = F.sequence(F.lit(0), F.coalesce("_shards", F.lit(1)) - 1)
+    # Size estimates do not see what an explode adds, so the planner is told not to broadcast.
+    return known.withColumn("_shard", F.explode(numbers)).drop("_shards").hint("merge")
 
 
-def _matching(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    return left.alias("l").join(right.alias("r"), _same("l", "r", keys), how)
+def _same(left: str, right: str, keys: list[str]) -> Column:
+    return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
 def _left(fact: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:

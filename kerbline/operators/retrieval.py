@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kerbline.operators.lookup import MAX_BROADCAST_ROWS, fits_broadcast, lookup, measured, spread_join
-from kerbline.session import pin
+from kerbline.session import pin, store
 
 MAX_INLINE_QUERIES = 1_000
 MAX_INLINE_BYTES = 1024 * 1024
 MAX_INLINE_WORDS = 256  # beyond, one search per word and document costs more than tokenizing
 MAX_WORDS_PER_TOKEN = 4_096  # beyond, one search per word and token costs more than cutting tokens up
 CHUNK = 256
+TOKENS_PER_TASK = 200_000
+COMMON_SHARE = 20  # a word is common when more than one in this many documents has it
 WHITE_SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -38,7 +40,7 @@ def retrieve(
     """
     distinct = pin(queries.select("query").where(F.col("query").isNotNull()).distinct())
     inline = _inline(distinct, max_inline)
-    scored = _score_inline(inline, docs) if inline is not None else _score_by_tokens(distinct, docs)
+    scored = _score_inline(inline, docs) if inline is not None else _score_by_tokens(distinct, docs, k)
     # The rank limit is applied in every task before the shuffle, so a query that matches most
     # documents sends k rows per task, not all of its matches.
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_ord")
@@ -102,36 +104,62 @@ def _score_inline(inline: list, docs: DataFrame) -> DataFrame:
             q["query"].alias("query"), F.size(F.array_intersect(q["words"], F.col("_present"))).alias("score")
         ),
     )
-    return present.select("doc_ord", F.explode(hits).alias("hit")).select("hit.query", "doc_ord", "hit.score").where(
-        F.col("score") > 0
-    )
+    # Only queries with a word in the document leave its row.
+    matched = F.filter(hits, lambda hit: hit["score"] > 0)
+    return present.select("doc_ord", F.explode(matched).alias("hit")).select("hit.query", "doc_ord", "hit.score")
 
 
-def _score_by_tokens(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+def _score_by_tokens(distinct: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Many queries: substring search as equality joins over the vocabulary of distinct tokens.
 
-    Which words a token holds is worked out once per distinct token of the corpus. Documents then
-    look up their tokens, and a document's words meet its queries after one shuffle by document.
+    Which words a token holds is worked out once per distinct token of the corpus. Documents look up their
+    tokens; then queries meet documents through their rare words first. A query's k-th best score by rare words is a
+    floor, and a document can add one per common word at most: documents that cannot reach the floor are left
+    out, which loses no result. Only queries whose common words alone could reach it are scored on all their words.
     """
     asked = pin(distinct.select("query", F.explode(words_of(F.col("query"))).alias("word")))
     words = pin(asked.select("word").distinct())
     tokens = docs.select("doc_ord", F.explode(words_of(F.col("text"))).alias("token"))
     held = pin(_words_in_tokens(tokens.select("token").distinct(), words))
     found = lookup(tokens, held, ["token"]).where(F.col("held").isNotNull())
-    by_doc = found.select("doc_ord", F.explode("held").alias("word")).repartition("doc_ord").distinct()
-    return (
-        spread_join(by_doc, asked, "word", "doc_ord")
-        .groupBy("query", "doc_ord")
-        .agg(F.count(F.lit(1)).cast("int").alias("score"))
-    )
+    by_doc = pin(found.select("doc_ord", F.explode("held").alias("word")).repartition("doc_ord").distinct())
+
+    common_from = docs.count() / COMMON_SHARE
+    spread = by_doc.groupBy("word").agg((F.count(F.lit(1)) > common_from).alias("common"))
+    asked = store(lookup(asked, pin(spread), ["word"]).where(F.col("common").isNotNull()), "asked")
+    rare = store(_counted(by_doc, asked.where(~F.col("common"))), "rare-scores")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_ord")
+    floors = rare.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k).groupBy("query")
+    floors = floors.agg(F.max(F.when(F.col("_place") == k, F.col("score"))).alias("floor"))
+    addable = asked.groupBy("query").agg(F.count_if("common").alias("addable"))
+    bounds = lookup(addable, store(floors, "floors"), ["query"]).withColumn("floor", F.coalesce("floor", F.lit(1)))
+    bounds = store(bounds, "bounds")
+
+    whole = bounds.where(F.col("addable") >= F.col("floor")).select("query", F.lit(True).alias("whole"))
+    known = lookup(asked, whole, ["query"])
+    by_all_words = _counted(by_doc, known.where("whole").select("query", "word"))
+    kept = bounds.where(F.col("addable") < F.col("floor"))
+    near = lookup(rare, kept, ["query"]).where(F.col("score") + F.col("addable") >= F.col("floor"))
+    near = store(near.select("query", "doc_ord", "score"), "near")
+    added = spread_join(near, known.where("whole is null and common").select("query", "word"), "query", "doc_ord")
+    added = added.join(by_doc, ["doc_ord", "word"]).select("query", "doc_ord", F.lit(1).alias("score"))
+    by_bound = near.unionByName(added).groupBy("query", "doc_ord").agg(F.sum("score").cast("int").alias("score"))
+    return by_all_words.unionByName(by_bound)
+
+
+def _counted(by_doc: DataFrame, asked: DataFrame) -> DataFrame:
+    """How many of the asked words each document has, per query. ``by_doc`` is kept together by document."""
+    pairs = spread_join(by_doc, asked.select("query", "word"), "word", "doc_ord")
+    return pairs.groupBy("query", "doc_ord").agg(F.count(F.lit(1)).cast("int").alias("score"))
 
 
 def _words_in_tokens(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     """``token`` and, in ``held``, the words that occur in it; a token has few pieces, so the list is short."""
-    # The vocabulary is small in bytes but costly per row: pinned first, a fixed width then keeps it
-    # from being merged into a few tasks.
-    width = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The vocabulary is small in bytes but costly per row: pinned first, a width by its rows then keeps
+    # it from being merged into a few tasks.
     numbered = pin(vocabulary.withColumn("_token", F.monotonically_increasing_id()))
+    width = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(width, -(-numbered.count() // TOKENS_PER_TASK))
     spread = numbered.repartition(width, "_token")
     number, small = measured(words)
     if small and number <= MAX_WORDS_PER_TOKEN:

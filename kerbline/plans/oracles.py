@@ -393,7 +393,8 @@ ORACLES = {
         walk AS (
           SELECT src AS source, src AS target, 0 AS hops FROM users WHERE src IN (0, 75)
           UNION
-          SELECT e.src, w.target, w.hops + 1 FROM walk w JOIN user_edges e ON e.dst = w.source WHERE w.hops < 5)
+          SELECT e.src, w.target, w.hops + 1 FROM walk w JOIN user_edges e ON e.dst = w.source
+          WHERE w.hops < (SELECT count(*) FROM (SELECT src FROM user_edges UNION SELECT dst FROM user_edges)))
         SELECT source, target, cast(min(hops) AS integer) AS hops FROM walk GROUP BY source, target""",
     "graph_nearest_target": f"""WITH RECURSIVE {SENSOR_EDGES}
         SELECT n.node, coalesce(r.target, 'none') AS target, cast(r.hops AS integer) AS hops
@@ -407,7 +408,7 @@ ORACLES = {
                || ' (risk=' || format('{{:.1f}}', risk_score) || ')' AS alert
         FROM scores JOIN edges ON src = intersection_id WHERE risk_score >= 75""",
     "text_topk_overlap": f"""WITH
-        {top_docs("t", "SELECT array_to_string(string_split(lower(text), ' ')[1:6], ' ') AS query FROM benchmark", "documents", "doc_id", 2)}
+        {top_docs("t", "SELECT text AS query FROM benchmark", "documents", "doc_id", 2)}
         SELECT query, cast(place AS integer) AS rank, cast(score AS integer) AS score, doc_id FROM t_top""",
     "text_record_context": f"""WITH {SCORES},
         asking AS (SELECT event_id, congestion || ' congestion ' || vehicle_type || ' ' || weather AS query FROM scores),

@@ -268,7 +268,7 @@ def graph_successors(spark, sf_dir):
 
 
 def graph_hops(spark, sf_dir):
-    return graph.hop_counts(views.user_edges(spark, sf_dir), views.user_targets(spark, sf_dir), max_hops=5)
+    return graph.hop_counts(views.user_edges(spark, sf_dir), views.user_targets(spark, sf_dir))
 
 
 def graph_nearest_target(spark, sf_dir):

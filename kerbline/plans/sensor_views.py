@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline import fixed
 from kerbline.functions.cells import cases
 from kerbline.operators.cleaning import clean
 from kerbline.operators.features import add_scores
 
-ZONE_BY_RESIDUE = {0: "north", 1: "central", 2: "central", 3: "west", 4: "south", 5: "north", 6: "east", 7: "south"}
-CONGESTION_BY_TYPE = {"view": "low", "click": "medium", "signup": "high"}
-VEHICLE_BY_RESIDUE = {0: "car", 1: "truck", 2: "bus", 3: "motorcycle", 4: "ambulance", 5: "police"}
-WEATHER_BY_RESIDUE = {0: "foggy", 1: "rainy", 2: "dusty", 3: "hot", 4: "snow"}
+ZONE_BY_RESIDUE = dict(enumerate(zone for _, zone in fixed.ZONE_OF_INTERSECTION))
+CONGESTION_BY_TYPE = dict(zip(["view", "click", "signup"], fixed.CONGESTION_LEVELS, strict=False))
+VEHICLE_BY_RESIDUE = dict(enumerate(fixed.VEHICLE_TYPES))
+WEATHER_BY_RESIDUE = dict(enumerate([*fixed.WEATHER_CONDITIONS[1:], "snow"]))  # one value outside the domain
 PHASE_BY_RESIDUE = {0: "green", 1: "red", 2: "yellow"}
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -157,9 +158,8 @@ def protocol_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six space-separated words of every benchmark text."""
-    words = F.slice(F.split(F.lower("text"), " "), 1, 6)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("query"))
+    """Every benchmark text as a query, whole."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
 
 
 def quality_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

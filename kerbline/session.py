@@ -46,11 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/kerbline/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/kerbline/{name}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    return path
 
 
 def pin(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and read it back; gone when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the driver's JVM ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)

@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from kerbline import fixed
 from kerbline.operators import graph
@@ -83,7 +84,7 @@ def test_hop_limit(spark):
     assert graph.hop_counts(edges, targets).count() == 26
 
 
-def test_spillover_and_its_refusal_of_huge_lists(spark):
+def test_spillover_and_lists(spark):
     edges = readers.road_edges(spark)
     records = spark.createDataFrame(
         [("1", "King_Road_x_Palestine", 75.0), ("2", "King_Road_x_Palestine", 74.9), ("3", "nowhere", 90.0)],
@@ -94,8 +95,6 @@ def test_spillover_and_its_refusal_of_huge_lists(spark):
         ("1", "[VA→Haram_Road_x_Madinah] High-risk spillover warning from King_Road_x_Palestine (risk=75.0)"),
         ("1", "[VA→King_Fahd_Hospital] High-risk spillover warning from King_Road_x_Palestine (risk=75.0)"),
     ]
-    with pytest.raises(ValueError, match="spillover"):
-        graph.successor_lists(edges, max_listed=1)
     listed = {r.event_id: r.neighbors for r in graph.with_neighbors(records, edges).collect()}
     assert listed["3"] == []
 
@@ -108,3 +107,14 @@ def test_graph_file(spark, tmp_path):
     nodes, edges = readers.read_graph_asset(spark, str(tmp_path / "g.json"))
     assert {r.id: r.lanes for r in nodes.collect()} == {"A": 2, "B": None}
     assert tuple(edges.select("src", "dst", "type", "ord").first()) == ("A", "B", "NEAR", 0)
+
+
+def test_a_hub_is_listed_in_parts(spark):
+    edges = spark.range(25_000).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst"), F.col("id").alias("ord"))
+    edges = edges.unionByName(spark.createDataFrame([("a", "hub", 25_000), ("a", "b", 25_001)], "src string, dst string, ord long"))
+    records = spark.createDataFrame([("1", "hub"), ("2", "a"), ("3", "x")], "event_id string, intersection_id string")
+    rows = graph.with_neighbors(records, edges).orderBy("event_id", "part").collect()
+    at_hub = [r for r in rows if r.event_id == "1"]
+    assert [r.part for r in at_hub] == [0, 1, 2]
+    assert [n for r in at_hub for n in r.neighbors] == [f"n{i}" for i in range(25_000)]
+    assert [(r.event_id, r.part, r.neighbors) for r in rows if r.event_id != "1"] == [("2", 0, ["hub", "b"]), ("3", 0, [])]

@@ -50,3 +50,14 @@ def test_measure(spark):
     assert joins.measured(spark.range(10), max_rows=9) == (10, False)
     wide = spark.range(1).select(F.repeat(F.lit("x"), 70 * 1024 * 1024).alias("w"))
     assert joins.measured(wide) == (1, False)
+
+
+def test_only_hot_keys_are_sharded(spark):
+    many = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    shards = {r.k: r["_shards"] for r in joins._hot_shards(many, ["k"]).collect()}
+    assert shards == {"hot": 334}
+    few = spark.createDataFrame([("hot", 1), ("1", 2)], "k string, v int")
+    copies = joins._copied(few, joins._hot_shards(many, ["k"]), ["k"]).groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in copies} == {"hot": 334, "1": 1}
+    plan = joins.spread_join(many, few, "k", "id", small=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Cartesian" not in plan
