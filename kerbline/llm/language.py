@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,14 @@ class Model:
                 return self.gram_logs[size][rows].mean(axis=0)
         return np.zeros(len(self.langs))
 
+    @cached_property
+    def scorer(self) -> Scorer:
+        """Lasts as long as the model does in a worker, over all its tasks."""
+        return Scorer(self)
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "scorer"}
+
 
 def log_table(counts: dict[str, dict[str, int]], langs: list[str], totals: dict[str, int], kinds: dict[str, int]):
     """Row number by item, and log frequencies; an item not kept for a language has its smoothed zero count."""
@@ -205,7 +214,7 @@ def add_language(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work():
-        scorer = Scorer(shared.value)
+        scorer = shared.value.scorer
 
         def compute(texts: pa.Array) -> list[pa.Array]:
             made = [scorer.predict(text) for text in texts.to_pylist()]

@@ -33,11 +33,12 @@ from kerbline.llm.common import map_arrow, ship_package, stored
 
 ROLES = ("system", "user", "assistant")
 BLOCK_TURNS = 512
-#: Pseudo-counts: of every value of a feature, and of a role's own marker.
+#: Pseudo-counts: of every value of a line feature, of a marker that names the role, and of one that names another.
 SMOOTHING = 0.5
 OWN_MARKER = 20.0
-#: Chance that the role changes between two lines of a message.
-CHANGE_WITHIN = 1e-3
+OTHER_MARKER = 1e-4
+#: Chance that the role changes between two lines of a message; small against the evidence of a marker only.
+CHANGE_WITHIN = 1e-4
 
 NAMES = {
     "system": "system|instructions?|context",
@@ -109,9 +110,10 @@ def model_of(first: np.ndarray, between: np.ndarray, features: list[np.ndarray])
     np.fill_diagonal(stay, 1 - CHANGE_WITHIN)
     logs = []
     for number, counts in enumerate(features):
-        counts = counts + SMOOTHING
+        counts = counts + (SMOOTHING if number else OTHER_MARKER)
         if number == 0:
             counts[np.arange(roles), np.arange(roles)] += OWN_MARKER
+            counts[:, roles] += SMOOTHING
         logs.append(np.log(counts / counts.sum(axis=1, keepdims=True)))
     codes = [features_of(code) for code in range(int(np.prod(SIZES)))]
     emit = np.array([sum(log[:, value] for log, value in zip(logs, values, strict=True)) for values in codes])
@@ -222,12 +224,12 @@ def block_roles(model: Model, messages: list[list[int]], opens: bool, before: in
     return roles[::-1]
 
 
-def block_ends(blocks: pd.DataFrame, matrices: str = "matrix") -> pd.DataFrame:
+def block_ends(blocks: pd.DataFrame) -> pd.DataFrame:
     """Roles in front and at the end of each block of one conversation, from the blocks' matrices."""
     blocks = blocks.sort_values("block", kind="stable")
     size = len(ROLES)
     score, back = np.array([0.0] + [-np.inf] * (size - 1)), []
-    for matrix in blocks[matrices]:
+    for matrix in blocks["matrix"]:
         paths = score[:, None] + np.array(matrix, float).reshape(size, size)
         back.append(paths.argmax(axis=0))
         score = paths.max(axis=0)
