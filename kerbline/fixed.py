@@ -122,9 +122,19 @@ NO_TIMING_TEXT = "Default timing policy applied"
 # --- fixed values: text that stands in for a lost incident report in the dropout drill ---
 DROPOUT_TEXT = "unknown incident reported"
 
-# --- fixed values: id shared by injected duplicates, and the injected out-of-range speed ---
-DUPLICATE_ID = "DUPLICATE-FIXED-ID-001"
-OUT_OF_RANGE_SPEED = 999.9
+# --- fixed values: topic source ---
+TOPIC_SERVERS = "localhost:9092"
+TOPIC = "traffic-sensors"
+TOPIC_GROUP = "traffic-consumer-group"
+TOPIC_MIN_RECORDS = 100
+TOPIC_MAX_DELAY = "30s"
+
+# --- fixed values: settings of the text classifiers ---
+HASHED_TERMS = 10000
+MIN_DOC_FREQ = 2
+CLASSIFIER_ITERATIONS = 100
+CLASSIFIER_REG = 0.01
+CLASSIFIER_ELASTIC_NET = 0.0
 
 # --- fixed values: intersection to zone ---
 ZONE_OF_INTERSECTION = [

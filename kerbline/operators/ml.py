@@ -31,9 +31,15 @@ def build_text_classifier(classifier: str = "logreg") -> Pipeline:
     """Tokens, stop words, hashed term frequencies, IDF, label index, then the classifier."""
     shared = {"featuresCol": "features", "labelCol": "label"}
     if classifier == "logreg":
-        last = LogisticRegression(maxIter=100, regParam=0.01, elasticNetParam=0.0, family="multinomial", **shared)
+        last = LogisticRegression(
+            maxIter=fixed.CLASSIFIER_ITERATIONS,
+            regParam=fixed.CLASSIFIER_REG,
+            elasticNetParam=fixed.CLASSIFIER_ELASTIC_NET,
+            family="multinomial",
+            **shared,
+        )
     elif classifier == "svm":
-        one = LinearSVC(maxIter=100, regParam=0.01, **shared)
+        one = LinearSVC(maxIter=fixed.CLASSIFIER_ITERATIONS, regParam=fixed.CLASSIFIER_REG, **shared)
         last = OneVsRest(classifier=one, parallelism=CLASSES_AT_ONCE, **shared)
     else:
         raise ValueError(f"unknown classifier {classifier!r}: logreg or svm")
@@ -41,8 +47,8 @@ def build_text_classifier(classifier: str = "logreg") -> Pipeline:
         stages=[
             Tokenizer(inputCol="text", outputCol="words"),
             StopWordsRemover(inputCol="words", outputCol="filtered"),
-            HashingTF(inputCol="filtered", outputCol="raw_features", numFeatures=10000),
-            IDF(inputCol="raw_features", outputCol="features", minDocFreq=2),
+            HashingTF(inputCol="filtered", outputCol="raw_features", numFeatures=fixed.HASHED_TERMS),
+            IDF(inputCol="raw_features", outputCol="features", minDocFreq=fixed.MIN_DOC_FREQ),
             StringIndexer(inputCol="severity", outputCol="label", handleInvalid="keep"),
             last,
         ]
@@ -123,10 +129,15 @@ def evaluate(predictions: DataFrame) -> DataFrame:
 
 
 def train_and_evaluate(
-    train: DataFrame, test: DataFrame, classifier: str = "logreg", condition: str = "clean"
+    train: DataFrame,
+    test: DataFrame,
+    classifier: str = "logreg",
+    condition: str = "clean",
+    prepared: tuple[PipelineModel, DataFrame] | None = None,
 ) -> tuple[PipelineModel, Row]:
+    """Fit and evaluate; ``prepared`` is the ``text_features`` of the training rows where they are known."""
     started = time.perf_counter()
-    model = fit_text_classifier(train, classifier)
+    model = fit_classifier(*(prepared or text_features(train, classifier)), classifier)
     scores = evaluate(model.transform(test)).first()
     elapsed = round(time.perf_counter() - started, 2)
     return model, Row(
@@ -143,16 +154,18 @@ def run_classifier(
 ) -> tuple[PipelineModel, DataFrame]:
     """Train both classifiers, save the first, run both drills; the model and one metrics row each.
 
-    The training rows are read once per fit iteration, so the two halves are persisted meanwhile.
+    Both classifiers take the same prepared rows, so the stages in front are fitted once. The two halves are
+    persisted meanwhile.
     """
     spark = corpus.sparkSession
     kept = labelled(corpus)
     train, test = (half.persist() for half in split_train_test(kept, key))
     try:
-        model, clean = train_and_evaluate(train, test, "logreg", "clean")
+        prepared = text_features(train)
+        model, clean = train_and_evaluate(train, test, "logreg", "clean", prepared)
         if model_path:
             model.write().overwrite().save(model_path)
-        _, svm = train_and_evaluate(train, test, "svm", "clean")
+        _, svm = train_and_evaluate(train, test, "svm", "clean", prepared)
         dropped = evaluate(model.transform(drop_out_text(test, key))).first()
         no_text = Row(classifier="logreg", condition="null_20pct", elapsed_sec=None, **dropped.asDict())
         _, noisy = train_and_evaluate(relabel(train, key, labels), test, "logreg", "noisy_labels_10pct")

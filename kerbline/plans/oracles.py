@@ -263,31 +263,6 @@ decided AS (
 """
 )
 
-AGAIN = (
-    CLEAN
-    + f""",
-drawn AS (
-  SELECT *, CASE WHEN {draw("event_id", 7)} < 0.1
-                 THEN {pick(["null_speed", "null_congestion", "wrong_type", "out_of_range"], draw("event_id", 8))} END AS fault
-  FROM clean),
-faulty AS (
-  SELECT event_id,
-         CASE fault WHEN 'null_speed' THEN NULL WHEN 'out_of_range' THEN cast(999.9 AS double) ELSE speed_kmh END AS speed_kmh,
-         CASE WHEN fault = 'null_congestion' THEN NULL ELSE congestion END AS congestion,
-         CASE WHEN fault = 'wrong_type' THEN 'many' ELSE cast(vehicle_count AS varchar) END AS vehicle_count,
-         CASE WHEN fault IS NULL THEN 'normal' ELSE 'adversarial' END AS record_type
-  FROM drawn)
-"""
-)
-
-_STREAM_START = f"cast(floor({draw('event_id', 9)} * 5) AS bigint)"
-_STREAM_WIDTH = f"cast(floor({draw('event_id', 10)} * 3) AS bigint) + 1"
-_NULLED = ["speed_kmh", "congestion", "vehicle_type", "weather", "vehicle_count"]
-_FIRST_NULL = " ".join(
-    f"WHEN ({_NULLED.index(f)} - s + 5) % 5 < w THEN 'null_field:{f}'"
-    for f in ["speed_kmh", "congestion", "vehicle_type", "vehicle_count", "weather"]
-)
-
 CORPUS = "corpus AS (SELECT d.doc_id, d.text, cast(l.quality AS varchar) AS severity FROM documents d JOIN labels l USING (doc_id))"
 
 _QUALITY = f"""
@@ -308,10 +283,34 @@ FROM scores GROUP BY zone
 """
 
 
+def _raw(field: str) -> str:
+    return f"CASE WHEN reason NOT IN ('json_parse_error', 'not_a_dict') THEN json_extract_string(value, '$.{field}') END"
+
+
+_RAW_TEXTS = ", ".join(
+    f"{_raw(f)} AS raw_{f}"
+    for f in ["event_id", "timestamp", "intersection_id", "zone", "congestion", "vehicle_type", "weather"]
+)
+_HANDED_ON = """event_id, intersection_id, zone, congestion, congestion_score, risk_score, vehicle_type, is_emergency, weather,
+        is_bad_weather, speed_kmh, vehicle_count, hour_bin, severity_label"""
+
+
 def _scores(columns: str) -> str:
     return f"WITH {SCORES} SELECT event_id, {columns} FROM scores"
 
 
+_NAMED_TEST = f"""SELECT doc_id, lang AS severity, lang AS predicted_severity FROM documents
+        WHERE {draw("doc_id", 42)} >= 0.8 AND text IS NOT NULL AND lang IS NOT NULL"""
+_MESSAGES = f"""'[VA] Intersection ' || intersection_id || ' (zone: ' || zone || ') — ' || vehicle_type || ' at '
+        || format('{{:.1f}}', speed_kmh) || ' km/h. Congestion: ' || congestion || '. Weather: ' || weather || '. Period: '
+        || hour_bin || '. Risk score: ' || format('{{:.1f}}', risk_score) || '. Policy context: ' || vehicle_context || '.'
+          AS message,
+        coalesce(a.alerts, '') AS alerts, risk_score AS risk, neighbors
+        FROM decided d LEFT JOIN (
+          SELECT event_id, string_agg('[VA→' || dst || '] High-risk spillover warning from ' || intersection_id
+                 || ' (risk=' || format('{{:.1f}}', risk_score) || ')', '|' ORDER BY ord) AS alerts
+          FROM scores JOIN edges ON src = intersection_id WHERE risk_score >= 75 GROUP BY event_id) a USING (event_id)"""
+
 ORACLES = {
     "etl_drop_all_null_keys": f"""WITH {SRC} SELECT * FROM (
         SELECT CASE WHEN number % 3 <> 0 THEN event_id END AS event_id,
@@ -368,21 +367,27 @@ ORACLES = {
         vehicle_type, is_emergency, weather, is_bad_weather, speed_kmh, vehicle_count, hour_bin, severity_label
         FROM scores ORDER BY event_id LIMIT 50""",
     "join_zone_lookup": f"WITH {SRC} SELECT event_id, intersection_id, zone FROM raw",
-    "src_sink_parquet_roundtrip": f"""WITH {SCORES} SELECT event_id, zone, severity_label, risk_score, speed_kmh,
-        {rounded("avg(speed_kmh) OVER (PARTITION BY zone)", 1)} AS zone_avg_speed,
-        strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_ts FROM scores""",
+    "src_sink_parquet_roundtrip": f"""WITH {SCORES} SELECT event_id, intersection_id, zone, speed_kmh, congestion, vehicle_type,
+        vehicle_count, weather, signal_phase, incident_flag, record_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_ts,
+        strftime(ts, '%Y-%m-%d') AS date, hour, congestion_score, speed_ratio, is_emergency, is_bad_weather, hour_bin,
+        {rounded("avg(congestion_score) OVER (PARTITION BY zone)", 1)} AS zone_avg_congestion,
+        {rounded("avg(speed_kmh) OVER (PARTITION BY zone)", 1)} AS zone_avg_speed, risk_score, severity_label, severity_index
+        FROM scores""",
     "sink_replace_is_idempotent": f"WITH {CLEAN} SELECT event_id, zone, strftime(ts, '%Y-%m-%d') AS date FROM clean",
     "src_catalog_table": f"WITH {SCORES} {_RISK_BY_ZONE}",
     "src_json_roundtrip": f"""WITH {SRC} SELECT event_id, "timestamp", intersection_id, zone,
         cast(cast(speed_kmh AS float) AS double) AS speed_kmh, congestion, vehicle_type, vehicle_count, weather, signal_phase,
         incident_flag, record_type FROM raw""",
-    "sink_scored_json": f"WITH {SCORES} SELECT event_id, zone, risk_score, is_emergency FROM scores",
+    "sink_scored_json": f"WITH {SCORES} SELECT {_HANDED_ON} FROM scores",
+    "src_incident_corpus": "SELECT cast(doc_id AS varchar) AS id, text, lang AS severity FROM documents",
+    "src_policy_corpus": "SELECT cast(item_id AS varchar) AS policy_id, text, true AS numbered FROM benchmark",
     "val_reasons": f"WITH {CHECKED} SELECT event_id, reason FROM checked",
     "val_reason_counts": f"WITH {CHECKED} SELECT reason, count(*) AS records FROM checked GROUP BY reason",
     "val_status_counts": f"""WITH {CHECKED} SELECT CASE reason WHEN 'ok' THEN 'valid' WHEN 'json_parse_error' THEN 'parse_error'
         ELSE 'invalid' END AS status, count(*) AS records FROM checked GROUP BY 1""",
     "val_quarantine": f"""WITH {CHECKED} SELECT event_id, reason,
-        CASE WHEN reason IN ('json_parse_error', 'not_a_dict') THEN 'text' ELSE 'object' END AS raw_kind
+        CASE WHEN reason IN ('json_parse_error', 'not_a_dict') THEN value END AS raw_text, {_RAW_TEXTS},
+        try_cast({_raw("speed_kmh")} AS double) AS raw_speed_kmh, try_cast({_raw("vehicle_count")} AS double) AS raw_vehicle_count
         FROM checked WHERE reason <> 'ok'""",
     "stream_ingest_available_now": f"""WITH {CHECKED} SELECT reason,
         CASE WHEN reason NOT IN ('json_parse_error', 'not_a_dict') THEN event_id END AS event_id FROM checked""",
@@ -424,18 +429,12 @@ ORACLES = {
         is_emergency = 1 AS is_emergency, green, yellow, red FROM decided""",
     "decide_summary": f"""WITH RECURSIVE {DECIDED} SELECT event_id, intersection_id, severity, action, green, red,
         substring(decision, 1, 70) AS decision FROM decided""",
-    "decide_messages": f"""WITH RECURSIVE {DECIDED} SELECT d.event_id,
-        '[VA] Intersection ' || intersection_id || ' (zone: ' || zone || ') — ' || vehicle_type || ' at '
-        || format('{{:.1f}}', speed_kmh) || ' km/h. Congestion: ' || congestion || '. Weather: ' || weather || '. Period: '
-        || hour_bin || '. Risk score: ' || format('{{:.1f}}', risk_score) || '. Policy context: ' || vehicle_context || '.'
-          AS message,
-        coalesce(a.alerts, '') AS alerts, risk_score AS risk, neighbors
-        FROM decided d LEFT JOIN (
-          SELECT event_id, string_agg('[VA→' || dst || '] High-risk spillover warning from ' || intersection_id
-                 || ' (risk=' || format('{{:.1f}}', risk_score) || ')', '|' ORDER BY ord) AS alerts
-          FROM scores JOIN edges ON src = intersection_id WHERE risk_score >= 75 GROUP BY event_id) a USING (event_id)""",
-    "decide_nested_json": f"""WITH RECURSIVE {DECIDED} SELECT event_id, severity, green,
-        cast(len(string_split(neighbors, '|')) AS integer) AS n_neighbors FROM decided""",
+    "decide_messages": f"""WITH RECURSIVE {DECIDED} SELECT d.event_id, {_MESSAGES}""",
+    "decide_nested_json": f"""WITH RECURSIVE {DECIDED} SELECT d.event_id, 0 AS part, severity,
+        severity_label AS spark_predicted_sev, action AS recommended_action, action, protocol,
+        CASE WHEN severity IN ('high', 'critical') THEN hospital END AS nearest_hospital,
+        risk_score >= 50 AND severity IN ('high', 'critical') AS va_risk_confirmed, decision, policy_context,
+        is_emergency = 1 AS is_emergency, green, yellow, red, {_MESSAGES}""",
     "score_text_column": f"""WITH {SCORES} SELECT event_id, concat_ws(' ', intersection_id, congestion, vehicle_type, weather,
         hour_bin, CASE WHEN is_emergency = 1 THEN 'emergency vehicle' ELSE 'normal vehicle' END) AS text FROM scores""",
     "ml_split": f"""WITH {CORPUS} SELECT doc_id,
@@ -444,6 +443,11 @@ ORACLES = {
         CASE WHEN {draw("doc_id", 1)} < 0.2 THEN 'unknown incident reported' ELSE text END AS text FROM corpus""",
     "ml_noisy_labels": f"""SELECT doc_id, CASE WHEN {draw("doc_id", 2)} < 0.1
         THEN {pick(["de", "en", "es", "fr"], draw("doc_id", 3))} ELSE lang END AS severity FROM documents""",
+    "ml_logreg_score": _NAMED_TEST,
+    "ml_svm_score": _NAMED_TEST,
+    "ml_metrics": """SELECT * FROM (VALUES ('logreg', 'clean', true, true), ('svm', 'clean', true, true),
+        ('logreg', 'null_20pct', true, false), ('logreg', 'noisy_labels_10pct', true, true)) AS t(classifier, condition, good, timed)""",
+    "ml_score_features": f"WITH {SCORES} SELECT {_HANDED_ON}, true AS has_known_severity FROM scores",
     "ml_confusion_metrics": f"""WITH {CORPUS},
         pairs AS (SELECT severity AS a, cast(doc_id % 3 % 2 AS varchar) AS g FROM corpus),
         classes AS (SELECT c, count(*) FILTER (a = c) AS actual, count(*) FILTER (g = c) AS guessed,
@@ -452,16 +456,6 @@ ORACLES = {
         SELECT {rounded("cast(sum(hits) AS double) / sum(actual)", 4)} AS accuracy,
                {rounded("sum(2 * cast(hits AS double) / (actual + guessed) * actual) / sum(actual)", 4)} AS f1
         FROM classes""",
-    "fault_drill": f"WITH {AGAIN} SELECT event_id, speed_kmh, congestion, vehicle_count, record_type FROM faulty",
-    "fault_drop_rate": f"""WITH {AGAIN},
-        totals AS (SELECT count(*) AS r, count(*) FILTER (coalesce(speed_kmh, 30) BETWEEN 0 AND 200) AS c FROM faulty) {_QUALITY}""",
-    "fault_stream_reasons": f"""WITH {CLEAN},
-        drawn AS (SELECT event_id, {_STREAM_START} AS s, {_STREAM_WIDTH} AS w, CASE WHEN {draw("event_id", 7)} < 0.1
-            THEN {pick(["null_fields", "corrupt_json", "duplicate", "wrong_type"], draw("event_id", 8))} END AS f FROM clean)
-        SELECT event_id AS source_id, coalesce(f, 'normal') AS fault,
-               CASE f WHEN 'corrupt_json' THEN 'json_parse_error' WHEN 'wrong_type' THEN 'wrong_type:speed_kmh'
-                      WHEN 'null_fields' THEN CASE {_FIRST_NULL} END ELSE 'ok' END AS reason
-        FROM drawn""",
     "quality_metrics": f"""WITH {CLEAN},
         totals AS (SELECT (SELECT count(*) FROM raw) AS r, (SELECT count(*) FROM clean) AS c) {_QUALITY}""",
 }

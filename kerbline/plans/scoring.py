@@ -11,8 +11,8 @@ from kerbline.sources.readers import hospitals, load_model, read_corpus, read_ta
 from kerbline.sources.writers import write_json
 
 
-def load_and_score(spark: SparkSession, features_path: str, model_path: str, limit: int | None = 50) -> DataFrame:
-    """Scored records, the first ``limit`` by ``event_id`` or all of them with ``None``."""
+def load_and_score(spark: SparkSession, features_path: str, model_path: str, limit: int | None = None) -> DataFrame:
+    """Scored records, all of them or the first ``limit`` by ``event_id``."""
     records = read_table(spark, features_path)
     if limit is not None:
         records = records.orderBy("event_id").limit(limit)
@@ -29,8 +29,12 @@ def run_decisions(
     decisions_out: str,
     limit: int | None = None,
     label_col: str = "severity_label",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Score, decide and write both results as JSON; the written decisions."""
+    """Score, decide and write both results as JSON; the written decisions.
+
+    The corpora are JSON lines, or files of one array each with ``multi_line``.
+    """
     write_json(load_and_score(spark, features_path, model_path, limit), scored_out)
     schema = ", ".join(f"{c} {t}" for c, t in SCORED_TYPES.items())
     scored = spark.read.schema(schema).json(scored_out)
@@ -38,8 +42,8 @@ def run_decisions(
         scored,
         road_edges(spark),
         hospitals(spark),
-        read_corpus(spark, policies_path, fixed.POLICY_SCHEMA),
-        read_corpus(spark, protocols_path, fixed.PROTOCOL_SCHEMA),
+        read_corpus(spark, policies_path, fixed.POLICY_SCHEMA, multi_line),
+        read_corpus(spark, protocols_path, fixed.PROTOCOL_SCHEMA, multi_line),
         label_col=label_col,
     )
     write_json(decided, decisions_out)

@@ -1,9 +1,16 @@
-"""Streaming de-duplication of events."""
+"""Streaming de-duplication of events.
+
+``dedup_into`` keeps a row of every id, late and untimed ones included, by looking up the ids it has written.
+``dedup_stream`` keeps its state in memory for a watermark delay only; rows later than that and rows without a time
+are no part of its result.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 SHARDS = 32
 
@@ -33,3 +40,43 @@ def dedup_stream(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
         .dropDuplicatesWithinWatermark(["event_id"])
         .drop("_shard")
     )
+
+
+def dedup_into(
+    stream: DataFrame, path: str, checkpoint: str, key: str = "event_id", trigger: dict | None = None
+) -> StreamingQuery:
+    """Append one row of every ``key`` of ``stream`` to Parquet folders below ``path``; nothing is dropped as late.
+
+    Of a micro-batch the row with the smallest ``event_ts`` stays (then by the other columns; rows without a time
+    come last), combined before the shuffle. It is written unless an earlier batch wrote its key, which is looked up in
+    the key column of what is there. A batch that runs again replaces its own folder. Null keys count as one.
+    """
+    names = stream.columns
+    order = F.struct(F.col("event_ts").isNull().alias("_untimed"), "event_ts", *(c for c in names if c != "event_ts"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        tag = f"{session.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        first = batch.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_row"))
+        fresh = first.select(*(F.col(f"_row.{name}").alias(name) for name in names))
+        written = _written_keys(session, path, key, tag)
+        if written is not None:
+            fresh = fresh.join(written, F.col(key).eqNullSafe(F.col("_written")), "left_anti")
+        writer = fresh.withColumn("batch", F.lit(tag)).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if trigger:
+        writer = writer.trigger(**trigger)
+    return writer.start()
+
+
+def _written_keys(session, path: str, key: str, tag: str) -> DataFrame | None:
+    """Keys that other batches have written; None before the first."""
+    try:
+        there = session.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return there.where(F.col("batch") != tag).select(F.col(key).alias("_written"))

@@ -37,16 +37,17 @@ def test_missing_input_is_an_error(spark, tmp_path):
 
 def test_sample_events_have_features(spark):
     rows = {r.event_id: r for r in add_features(readers.sample_events(spark)).collect()}
-    assert rows["3"].severity_label == "critical"
-    assert rows["2"].zone_avg_speed == rows["3"].zone_avg_speed == 22.6
+    assert rows["demo-b"].severity_label == "critical"
+    assert rows["demo-a"].severity_label == "low" and rows["demo-a"].hour_bin == "night"
+    assert rows["demo-c"].zone_avg_speed == 51.0
 
 
 def test_corpora_of_json_arrays(spark, tmp_path):
     cases = [{"id": str(i), "severity": "low", "text": f"t{i}", "road": "r"} for i in range(5)]
     (tmp_path / "cases.json").write_text(json.dumps(cases, indent=2))
-    assert labelled(readers.read_incidents(spark, str(tmp_path / "cases.json"))).count() == 5
+    assert labelled(readers.read_incidents(spark, str(tmp_path / "cases.json"), multi_line=True)).count() == 5
     (tmp_path / "p.json").write_text(json.dumps([{"policy_id": "b", "text": "first"}, {"policy_id": "a", "text": "second"}], indent=2))
-    docs = readers.read_corpus(spark, str(tmp_path / "p.json"), fixed.POLICY_SCHEMA)
+    docs = readers.read_corpus(spark, str(tmp_path / "p.json"), fixed.POLICY_SCHEMA, multi_line=True)
     assert [r.text for r in docs.orderBy("doc_ord").collect()] == ["first", "second"]
 
 
@@ -63,7 +64,7 @@ def test_score_and_decide_between_folders(spark, sf_dir, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps([{"text": "low congestion is fine"}]))
     decided = run_decisions(
         spark, feats, model, str(tmp_path / "p.json"), str(tmp_path / "none.json"),
-        str(tmp_path / "scored"), str(tmp_path / "decided"), limit=20,
+        str(tmp_path / "scored"), str(tmp_path / "decided"), limit=20, multi_line=True,
     )
     first = [r.event_id for r in records.orderBy("event_id").limit(20).collect()]
     assert sorted(r.event_id for r in decided.collect()) == first
@@ -77,3 +78,27 @@ def test_shared_folder_follows_the_session(spark):
     if configured:
         assert folder == configured
     assert scratch_path(spark, "x").startswith(folder.rstrip("/") + "/kerbline/x-")
+
+
+def test_the_whole_way_between_folders(spark, sf_dir, tmp_path):
+    from kerbline.functions import cells
+    from kerbline.plans.jobs import run_all
+    from pyspark.sql import functions as F
+
+    raw = views.sensor_raw(spark, sf_dir)
+    writers.write_json(raw, str(tmp_path / "raw"))
+    texts = views.sensor_scores(spark, sf_dir).select(
+        F.col("event_id").alias("id"), cells.scoring_text().alias("text"), F.col("severity_label").alias("severity")
+    )
+    writers.write_json(texts, str(tmp_path / "corpus"))
+    writers.write_json(spark.createDataFrame([("1", "low congestion car clear")], "policy_id string, text string"), str(tmp_path / "policies"))
+    done = run_all(
+        spark, str(tmp_path / "raw"), str(tmp_path / "corpus"), str(tmp_path / "policies"), str(tmp_path / "none"), str(tmp_path / "out")
+    )
+    clean = views.sensor_clean(spark, sf_dir).count()
+    assert done["etl"]["total_raw"] == raw.count() and done["etl"]["total_clean"] == clean
+    assert {(r.classifier, r.condition) for r in done["metrics"].collect()} == {
+        ("logreg", "clean"), ("svm", "clean"), ("logreg", "null_20pct"), ("logreg", "noisy_labels_10pct")
+    }
+    assert done["decisions"].count() == done["summary"].count() == clean
+    assert readers.load_model(str(tmp_path / "out" / "model")).stages

@@ -112,6 +112,49 @@ def test_topic_options():
         "startingOffsets": "earliest",
         "minOffsetsPerTrigger": "7",
         "maxTriggerDelay": "5s",
+        "maxOffsetsPerTrigger": "1000000",
     }
     assert readers.kafka_options()["kafka.group.id"] == "traffic-consumer-group"
     assert ingest_module.METRICS == "ingest"
+
+
+def test_dedup_into_accounts_for_late_and_untimed_rows(spark, tmp_path):
+    from kerbline.streaming.dedup import dedup_into
+
+    schema = "event_id string, event_ts timestamp, place string"
+
+    def land(n, rows):
+        texts = [(i, ts, p) for i, ts, p in rows]
+        frame = spark.createDataFrame(texts, "event_id string, ts string, place string")
+        frame.select("event_id", F.col("ts").cast("timestamp").alias("event_ts"), "place").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        dedup_into(stream, f"{tmp_path}/out", f"{tmp_path}/check", trigger={"availableNow": True}).awaitTermination()
+        return sorted(((r.event_id or "null"), str(r.event_ts), r.place) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    land(0, [("a", "2024-01-15 12:00:00", "x"), ("a", "2024-01-15 11:00:00", "y"), ("b", "2024-01-15 18:00:00", "x")])
+    land(1, [("late", "2024-01-15 01:00:00", "x"), ("c", "2024-01-15 18:01:00", "x"), ("untimed", None, "x"), ("a", None, "z"), (None, None, "n")])
+    first = run()
+    land(2, [("late", "2024-01-15 02:00:00", "w"), ("untimed", "2024-01-15 02:00:00", "w"), (None, "2024-01-15 02:00:00", "w"), ("d", "2020-01-01 00:00:00", "w")])
+    rows = run()
+    assert [r[0] for r in first] == ["a", "b", "c", "late", "null", "untimed"]
+    assert [r[0] for r in rows] == ["a", "b", "c", "d", "late", "null", "untimed"]
+    assert ("a", "2024-01-15 11:00:00", "y") in rows and ("late", "2024-01-15 01:00:00", "x") in rows
+
+
+def test_stream_job_routes_and_keeps_one_row_per_id(spark, sf_dir, tmp_path):
+    from kerbline.operators import validation
+    from kerbline.plans import sensor_views as views
+    from kerbline.plans.stream import run_stream
+
+    texts = views.sensor_json(spark, sf_dir)
+    texts.select("value").repartition(3).write.text(f"{tmp_path}/in")
+    stream = readers.read_text_stream(spark, f"{tmp_path}/in", max_files=1)
+    for query in run_stream(stream, f"{tmp_path}/out", {"availableNow": True}):
+        query.awaitTermination()
+    checked = validation.validate(texts)
+    good = checked.where("reason = 'ok'")
+    assert spark.read.json(f"{tmp_path}/out/quarantine").count() == checked.count() - good.count()
+    events = [r.event_id for r in spark.read.parquet(f"{tmp_path}/out/events").select("event_id").collect()]
+    assert sorted(events) == sorted(r.event_id for r in good.select("event_id").distinct().collect())
