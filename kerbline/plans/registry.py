@@ -419,10 +419,12 @@ def ml_noisy_labels(spark, sf_dir):
 
 
 def _classified(classifier: str):
-    """Predictions for documents whose text begins with the name of its class, so that the right answer is known."""
+    """Predictions for documents that also hold two hundred words of their class, so that the right answer is known."""
 
     def query(spark, sf_dir):
-        named = views.language_corpus(spark, sf_dir).withColumn("text", F.concat_ws(" ", F.repeat(F.concat("severity", F.lit("class ")), F.lit(20)), "text"))
+        of_class = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat("severity", F.lit("word"), i.cast("string")))
+        naming = F.array_join(of_class, " ")
+        named = views.language_corpus(spark, sf_dir).withColumn("text", F.concat_ws(" ", naming, "text"))
         train, test = ml.split_train_test(ml.labelled(named), "doc_id")
         model = ml.fit_text_classifier(train, classifier)
         found = ml.with_predicted_severity(model.transform(test), model)
