@@ -33,7 +33,7 @@ GRAM_SIZES = (5, 4, 3, 2, 1)
 #: Added to every count.
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Words a task remembers beyond the model's.
+#: Tokens a worker remembers beyond the model's words.
 MEMO_ENTRIES = 300_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -53,9 +53,15 @@ def grams_of(word: str, size: int) -> list[str]:
 
 def count_words(batches):
     for batch in batches:
-        counts = Counter()
+        tokens: dict[str, Counter] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts.update((lang, word) for word in words_of(text))
+            tokens.setdefault(lang, Counter()).update((text or "").lower().split())
+        # Words never go over white space, so each distinct token is cut into words once.
+        counts: Counter = Counter()
+        for lang, seen in tokens.items():
+            for token, n in seen.items():
+                for word in LETTERS.findall(token):
+                    counts[lang, word] += n
         langs, words = zip(*counts, strict=True) if counts else ((), ())
         columns = [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
@@ -157,37 +163,50 @@ def fit(
 
 
 class Scorer:
-    """Scores texts; rows of unseen words are remembered behind the model's, up to a fixed count."""
+    """Scores texts; rows of tokens are remembered behind the model's, up to a fixed count.
+
+    The row of a token (what stands between white space) is the sum of the rows of its words.
+    """
 
     def __init__(self, model: Model) -> None:
-        self.model, known = model, len(model.words)
-        self.table = np.zeros((known + MEMO_ENTRIES + 1, max(1, len(model.langs))))
-        self.table[:known] = model.word_logs if known else 0
+        self.model, self.known = model, len(model.words)
+        self.table = np.zeros((self.known + MEMO_ENTRIES + 1, max(1, len(model.langs))))
+        self.table[: self.known] = model.word_logs if self.known else 0
         self.start()
 
     def start(self) -> None:
         self.memo = _Memo(self)
         self.memo.update(self.model.words)
-        self.size = len(self.model.words)
+        # The row of all tokens without letters, zero.
+        self.silent = self.size = self.known
+        self.table[self.silent] = 0
+        self.size += 1
 
-    def add(self, word: str) -> int:
+    def add(self, token: str) -> int:
+        words = LETTERS.findall(token)
+        if not words:
+            return self.silent
+        if len(words) == 1 and words[0] in self.model.words:
+            return self.model.words[words[0]]
         at = self.size
-        self.table[at] = self.model.word_row(word)
+        self.table[at] = sum(map(self.model.word_row, words))
         self.size += 1
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
+        tokens, spoken = (text or "").lower().split(), False
         sums = np.zeros(len(self.model.langs))
         # In pieces, so that one text cannot fill the memo beyond its size.
-        for start in range(0, len(words), MEMO_ENTRIES // 2):
-            if self.size > len(self.model.words) + MEMO_ENTRIES // 2:
+        piece_size = MEMO_ENTRIES // 2
+        for start in range(0, len(tokens) if self.model.langs else 0, piece_size):
+            if self.size > self.known + piece_size:
                 self.start()
-            piece = words[start : start + MEMO_ENTRIES // 2]
+            piece = tokens[start : start + piece_size]
             rows = np.fromiter(map(self.memo.__getitem__, piece), np.int64, len(piece))
             sums += self.table[rows].sum(axis=0)
+            spoken = spoken or bool((rows != self.silent).any())
+        if not spoken:
+            return UNKNOWN, 0.0
         best = int(sums.argmax())
         return self.model.langs[best], float(1 / np.exp(sums - sums[best]).sum())
 
@@ -197,8 +216,8 @@ class _Memo(dict):
         super().__init__()
         self.scorer = scorer
 
-    def __missing__(self, word: str) -> int:
-        row = self[word] = self.scorer.add(word)
+    def __missing__(self, token: str) -> int:
+        row = self[token] = self.scorer.add(token)
         return row
 
 
