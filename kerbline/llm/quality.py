@@ -36,6 +36,8 @@ CONFIDENT = 0.95
 PSEUDO_WEIGHT = 0.5
 FOLDS, HELD_OUT_FOLD, CALIBRATION_FOLD = 5, 0, 1
 HASHED = 1 << 12
+#: Every iteration of a fit is a job over its bounded rows; few tasks keep it from being all scheduling.
+FIT_TASKS = 6
 RIDGE = 1e-3
 THRESHOLD = 0.5
 
@@ -141,7 +143,7 @@ def train(rows: DataFrame, vector: str) -> LogisticRegressionModel:
         predictionCol=f"{vector}_label",
         regParam=RIDGE,
         maxIter=25,
-    ).fit(rows)
+    ).fit(rows.coalesce(FIT_TASKS))
 
 
 def both_labels(rows: DataFrame) -> bool:
@@ -162,7 +164,7 @@ def calibrate(rows: DataFrame, classifier: LogisticRegressionModel, vector: str)
     if not both_labels(scored):
         return Calibrated(classifier, 1.0, 0.0)
     scored = VectorAssembler(inputCols=["odd"], outputCol="features").transform(scored.withColumn("odd", F.get("odds", 0)))
-    line = LogisticRegression(labelCol="label", weightCol="weight", regParam=RIDGE, maxIter=25).fit(scored)
+    line = LogisticRegression(labelCol="label", weightCol="weight", regParam=RIDGE, maxIter=25).fit(scored.coalesce(FIT_TASKS))
     return Calibrated(classifier, max(0.0, float(line.coefficients[0])), float(line.intercept))
 
 
