@@ -10,7 +10,7 @@ slots and one file of records of equal length in slot order, so slot ``s`` start
 A record is: document id (signed 64 bit), part within the document (unsigned 32 bit), number of ids (unsigned 32
 bit), ``length`` ids of ``width`` bytes padded with zeros, and a closing newline byte; numbers are little-endian.
 Spark's own text writer writes the files, whose commit protocol survives lost executors. Every sequence is
-moved once.
+moved once, deflated.
 
 Input has to be a stored table (a scan of files), so that a task that runs again sees the same rows. Texts that are
 null or empty have one sequence without ids. Rows without an id are written with id -1.
@@ -19,6 +19,7 @@ null or empty have one sequence without ids. Rows without an id are written with
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,8 +94,8 @@ def count_by_partition(tokens: DataFrame, layout: Layout) -> list[int]:
     return [counts.get(i, 0) for i in range(max(counts, default=-1) + 1)]
 
 
-def records(tokens: DataFrame, layout: Layout, key: str, counts: list[int]) -> DataFrame:
-    """``shard, slot, record`` per sequence; the record is without its closing byte."""
+def sequences(tokens: DataFrame, layout: Layout, key: str, counts: list[int]) -> DataFrame:
+    """``shard, slot, head, packed`` per sequence: the record's header, and its ids deflated for the way."""
     total, starts = sum(counts), np.cumsum([0, *counts]).tolist()
     ship_package(tokens.sparkSession)
     step = layout.length * layout.width
@@ -102,19 +103,34 @@ def records(tokens: DataFrame, layout: Layout, key: str, counts: list[int]) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = starts[TaskContext.get().partitionId()]
         for batch in batches:
-            made = []
+            heads, packed = [], []
             for doc_id, ids in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 ids = ids or b""
                 for part, at in enumerate(range(0, max(len(ids), 1), step)):
                     piece = ids[at : at + step]
-                    head = struct.pack(HEADER, -1 if doc_id is None else doc_id, part, len(piece) // layout.width)
-                    made.append(head + piece.ljust(step, b"\0"))
-            slots = slots_of(np.arange(number, number + len(made)), total, key)
-            number += len(made)
-            columns = [pa.array((slots // layout.shard_rows).astype(np.int32)), pa.array(slots), pa.array(made, pa.binary())]
+                    heads.append(struct.pack(HEADER, -1 if doc_id is None else doc_id, part, len(piece) // layout.width))
+                    packed.append(zlib.compress(piece, 1, -zlib.MAX_WBITS))
+            slots = slots_of(np.arange(number, number + len(heads)), total, key)
+            number += len(heads)
+            columns = [pa.array((slots // layout.shard_rows).astype(np.int32)), pa.array(slots)]
+            columns += [pa.array(heads, pa.binary()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "slot", "head", "packed"])
+
+    return tokens.select("id", "ids").mapInArrow(run, "shard int, slot long, head binary, packed binary")
+
+
+def records(rows: DataFrame, layout: Layout) -> DataFrame:
+    """``shard, slot, record`` of moved sequences; the record is padded and without its closing byte."""
+    step = layout.length * layout.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("head").to_pylist(), batch.column("packed").to_pylist(), strict=True)
+            made = [head + zlib.decompress(packed, -zlib.MAX_WBITS).ljust(step, b"\0") for head, packed in pairs]
+            columns = [batch.column("shard"), batch.column("slot"), pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "slot", "record"])
 
-    return tokens.select("id", "ids").mapInArrow(run, "shard int, slot long, record binary")
+    return rows.mapInArrow(run, "shard int, slot long, record binary")
 
 
 def write_shards(tokens: DataFrame, path: str, key: str, layout: Layout = Layout()) -> int:
@@ -122,8 +138,8 @@ def write_shards(tokens: DataFrame, path: str, key: str, layout: Layout = Layout
     counts = count_by_partition(tokens, layout)
     total = sum(counts)
     n_shards = max(1, -(-total // layout.shard_rows))
-    rows = records(tokens, layout, key, counts).repartitionById(n_shards, F.col("shard"))
-    rows = rows.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string"))
+    moved = sequences(tokens, layout, key, counts).repartitionById(n_shards, F.col("shard"))
+    rows = records(moved, layout).sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string"))
     rows.write.partitionBy("shard").option("lineSep", END.decode()).text(path)
     return total
 
