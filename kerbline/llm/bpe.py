@@ -200,21 +200,34 @@ class _Memo(dict):
 
 
 def encode(
-    df: DataFrame, bpe: ByteBpe, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None
+    df: DataFrame,
+    bpe: ByteBpe,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    keep: list[str] | None = None,
+    decoded_col: str | None = None,
 ) -> DataFrame:
-    """``keep`` (all columns by default, but one named ``ids_col``) and the packed ids of each whole text."""
+    """``keep`` (all columns by default, but those named like the new ones) and the packed ids of each whole text.
+
+    With ``decoded_col`` the ids are also decoded by the same worker, for a round trip in one pass.
+    """
     shared = df.sparkSession.sparkContext.broadcast(bpe)
 
     def work():
         own = shared.value
 
         def compute(texts: pa.Array) -> list[pa.Array]:
-            return [pa.array([own.encode_packed(text or "") for text in texts.to_pylist()], pa.binary())]
+            packed = [own.encode_packed(text or "") for text in texts.to_pylist()]
+            made = [pa.array(packed, pa.binary())]
+            if decoded_col:
+                made.append(pa.array(map(own.decode_packed, packed), pa.binary()))
+            return made
 
         return compute
 
-    keep = [name for name in (df.columns if keep is None else keep) if name != ids_col]
-    return map_arrow(df, [text_col], keep, [T.StructField(ids_col, T.BinaryType())], work)
+    new = [ids_col, decoded_col] if decoded_col else [ids_col]
+    keep = [name for name in (df.columns if keep is None else keep) if name not in new]
+    return map_arrow(df, [text_col], keep, [T.StructField(name, T.BinaryType()) for name in new], work)
 
 
 def decode(

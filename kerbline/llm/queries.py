@@ -127,10 +127,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), hosts)
 
 
-def digests(encoded: DataFrame, tokenizer: bpe.ByteBpe, keep: list[str]) -> DataFrame:
-    """``keep``, and the length and digests of the column ``ids`` of ``encoded`` and of what it decodes to."""
-    decoded = bpe.decode(encoded, tokenizer)
-    return decoded.select(
+def digests(round_trip: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, and the length and digests of the columns ``ids`` and ``decoded``."""
+    return round_trip.select(
         *keep,
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -140,8 +139,8 @@ def digests(encoded: DataFrame, tokenizer: bpe.ByteBpe, keep: list[str]) -> Data
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.ByteBpe.load(VOCABULARY, public_tokenizers.PATTERN)
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer, keep=["doc_id"])
-    return digests(encoded, tokenizer, ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    return digests(bpe.encode(docs, tokenizer, keep=["doc_id"], decoded_col="decoded"), ["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -75,6 +75,9 @@ def test_encode_and_decode_tables(spark, tokenizer, library):
         assert ids(row.ids) == library.encode_ordinary(row.text or "")
         assert bytes(row.decoded) == (row.text or "").encode()
     assert bpe.encode(docs.limit(0), tokenizer).count() == 0
+    at_once = bpe.encode(docs, tokenizer, keep=["doc_id", "ids"], decoded_col="decoded")
+    assert at_once.columns == ["doc_id", "ids", "decoded"]
+    assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in at_once.collect()) == sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in done)
 
 
 def test_ids_outside_the_vocabulary_decode_to_null(spark, tokenizer):
