@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators import cleaning, features, reports, retrieval
+from kerbline.operators import cleaning, decisions, features, reports, retrieval
 from kerbline.plans import registry
 from kerbline.plans import sensor_views as views
 from kerbline.sources import writers
@@ -49,7 +49,7 @@ def test_top_k_and_reports(spark, sf_dir):
 
 
 def test_rank_limit_works_before_the_shuffle(spark, sf_dir):
-    queries = views.benchmark_queries(spark, sf_dir)
+    queries = views.sensor_scores(spark, sf_dir).select(decisions.vehicle_query().alias("query"))
     docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ord"), "text")
     text = plan(retrieval.retrieve(queries, docs))
     assert re.search(r"WindowGroupLimit .*Partial", text)
