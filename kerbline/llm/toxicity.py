@@ -18,6 +18,7 @@ import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,8 @@ SWAP_PENALTY = 1.0
 THRESHOLD = 0.5
 HELD_OUT_FOLDS = 5
 HELD_OUT_FOLD = 0
-MEMO_ENTRIES = 400_000
+#: Tokens a task remembers; about 50 MB.
+MEMO_ENTRIES = 300_000
 
 #: Names of groups of people; those of one line replace one another in counterfactual texts.
 IDENTITY_GROUPS = [
@@ -94,8 +96,21 @@ class Model:
     weights: dict[str, float]
     intercept: float
 
-    def word_features(self, word: str) -> tuple[str, ...]:
-        return tuple(f for f in features_of(word) if f in self.weights)
+    def word_features(self, word: str) -> list[str]:
+        """Those of ``features_of`` that have a weight; more than once where the word repeats them."""
+        weights, marked = self.weights, f"^{word}$"
+        found = [f"={word}"] if f"={word}" in weights else []
+        for size in GRAM_SIZES:
+            found += [gram for i in range(len(marked) - size + 1) if (gram := marked[i : i + size]) in weights]
+        return found
+
+    @cached_property
+    def scorer(self) -> Scorer:
+        """Lasts as long as the model does in a worker, over all its tasks."""
+        return Scorer(self)
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "intercept": self.intercept}
 
 
 def sigmoid(z: float) -> float:
@@ -108,23 +123,28 @@ class Scorer:
     """Scores texts; remembers the features of tokens, up to a fixed count."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.memo = model, {}
-
-    def features(self, token: str) -> tuple[str, ...]:
-        found = self.memo.get(token)
-        if found is None:
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            parts = [f for word in WORD.findall(token) for f in self.model.word_features(word)]
-            found = self.memo[token] = tuple(parts)
-        return found
+        self.model, self.memo = model, _Memo(model)
 
     def score(self, text: str | None) -> float:
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
         tokens = set((text or "").lower().split())
-        present = {f for found in map(self.features, tokens) if found for f in found}
+        present = {f for found in map(self.memo.__getitem__, tokens) if found for f in found}
         return sigmoid(self.model.intercept + math.fsum(map(self.model.weights.__getitem__, present)))
 
 
+class _Memo(dict):
+    """Token to the weighted features of its words, filled on demand."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        found = self[token] = tuple({f for word in WORD.findall(token) for f in self.model.word_features(word)})
+        return found
+
+
 # ---- fitting ------------------------------------------------------------------------------------
 
 
@@ -274,7 +294,7 @@ def add_score(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work():
-        scorer = Scorer(shared.value)
+        scorer = shared.value.scorer
 
         def compute(texts: pa.Array) -> list[pa.Array]:
             return [pa.array([scorer.score(text) for text in texts.to_pylist()], pa.float64())]
