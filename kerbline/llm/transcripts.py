@@ -4,7 +4,7 @@ The lines of a conversation are the observations, the roles of their speakers th
 speaker marker (``User:``, ``### Assistant``, ``<|system|>`` and the like, or none) and line features (question, length, list or
 code, opening of a message); given the role these are independent. Emissions, the role of the first message and the
 role of the next message given the last are counted over all labelled conversations; within a message the role
-stays unless a marker speaks against it. Viterbi finds the most likely roles; runs of lines of one role within a message
+stays, except at a line with a marker, where any role may follow. Viterbi finds the most likely roles; runs of lines of one role within a message
 become canonical turns, without their markers.
 
 Conversations may be of any length. They are cut into blocks of ``BLOCK_TURNS`` turn numbers. Each block is reduced to the
@@ -37,7 +37,7 @@ BLOCK_TURNS = 512
 SMOOTHING = 0.5
 OWN_MARKER = 20.0
 OTHER_MARKER = 1e-4
-#: Chance that the role changes between two lines of a message; small against the evidence of a marker only.
+#: Chance that the role changes between two lines of a message if the second has no marker; with one any role may follow.
 CHANGE_WITHIN = 1e-4
 
 NAMES = {
@@ -56,6 +56,7 @@ MARKERS = {
 LISTED = re.compile(r"\s*(?:[-*•]|\d+[.)]|```|    )")
 #: Number of values of each feature of a line: marker, question, length, list or code, opening.
 SIZES = (len(ROLES) + 1, 2, 3, 2, 2)
+MARKER_BASE = int(np.prod(SIZES[1:]))
 
 
 def marker_of(line: str) -> tuple[int, int]:
@@ -100,6 +101,7 @@ class Model:
     first: np.ndarray
     between: np.ndarray
     within: np.ndarray
+    marked: np.ndarray
     emit: np.ndarray
 
 
@@ -118,7 +120,7 @@ def model_of(first: np.ndarray, between: np.ndarray, features: list[np.ndarray])
     codes = [features_of(code) for code in range(int(np.prod(SIZES)))]
     emit = np.array([sum(log[:, value] for log, value in zip(logs, values, strict=True)) for values in codes])
     first, between = first + SMOOTHING, between + SMOOTHING
-    return Model(np.log(first / first.sum()), np.log(between / between.sum(axis=1, keepdims=True)), np.log(stay), emit)
+    return Model(np.log(first / first.sum()), np.log(between / between.sum(axis=1, keepdims=True)), np.log(stay), np.full((roles, roles), -np.log(roles)), emit)
 
 
 # ---- fitting ------------------------------------------------------------------------------------
@@ -190,7 +192,7 @@ def steps_of(model: Model, messages: list[list[int]], opens: bool) -> Iterator[t
     for number, codes in enumerate(messages):
         for i, code in enumerate(codes):
             if i:
-                change = model.within
+                change = model.marked if code // MARKER_BASE < len(ROLES) else model.within
             elif opens and number == 0:
                 change = np.broadcast_to(model.first, model.between.shape)
             else:

@@ -148,7 +148,8 @@ def best_path(model, messages):
     for roles in itertools.product(range(len(transcripts.ROLES)), repeat=len(codes)):
         score = 0.0
         for at, (code, i, number) in enumerate(codes):
-            change = model.within if i else model.between
+            within = model.marked if code // transcripts.MARKER_BASE < len(transcripts.ROLES) else model.within
+            change = within if i else model.between
             score += (model.first[roles[0]] if at == 0 else change[roles[at - 1], roles[at]]) + model.emit[code][roles[at]]
         if score > best + 1e-12:
             best, best_roles = score, list(roles)
