@@ -1,0 +1,73 @@
+"""Near-duplicates by shingles against all pairs."""
+
+import random
+from itertools import combinations
+
+import corpus_pipeline
+import pytest
+
+from kerbline.llm import jaccard, simhash
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def linked(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return a == b or (bool(a | b) and 5 * len(a & b) >= 4 * len(a | b))
+
+
+def corpus():
+    rng = random.Random(11)
+    rows = []
+    for size in (1, 3, 5, 12, 40, 150, 600):
+        base = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(size)]
+        for changes in (0, 0, 1, 1, 2, 4, 8, 12):
+            words = list(base)
+            for _ in range(min(changes, size // 8)):
+                words[rng.randrange(size)] = f"z{rng.randrange(1000)}"
+            rows.append((" " if changes % 2 else "  ").join(words))
+        rows.append(" ".join(base).upper())
+    rows = [*enumerate(rows + [None, "", " \n"])]
+    return [*rows, rows[3], (None, rows[40][1]), (None, "only without an id")]
+
+
+def expected_components(rows):
+    names = {i: i for i, _ in rows if i is not None}
+    texts = dict(rows)
+    pairs = [(a, b) for a, b in combinations(names, 2) if linked(texts[a], texts[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(names[a], names[b])
+            changed |= names[a] != low or names[b] != low
+            names[a] = names[b] = low
+    return names
+
+
+@pytest.mark.parametrize("list_entries", [256, 2])
+def test_components_equal_all_pairs(spark, list_entries):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    rows = jaccard.near_duplicates(docs, list_entries=list_entries).collect()
+    assert len(rows) == len(corpus())
+    assert {r.doc_id: r.component_id for r in rows if r.doc_id is not None} == expected_components(corpus())
+
+
+def test_pipeline_stage_drops_similar_texts_with_distant_fingerprints(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    while len(texts) < 6:
+        words = list(base)
+        for at in rng.sample(range(200), 3):
+            words[at] = "changed"
+        text = " ".join(words)
+        if bin(simhash.fingerprint(text) ^ simhash.fingerprint(texts[0])).count("1") > simhash.MAX_BITS and linked(text, texts[0]):
+            texts.append(text)
+    docs = spark.createDataFrame([*enumerate(texts), (10, "another text"), (None, texts[0])], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(str(r.doc_id) for r in stage(spark, docs, "").collect()) == ["0", "10", "None"]
+    assert stage(spark, docs.limit(0), "").count() == 0
