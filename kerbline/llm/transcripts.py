@@ -7,13 +7,15 @@ role of the next message given the last are counted over all labelled conversati
 stays, except at a line with a marker, where any role may follow. Viterbi finds the most likely roles; runs of lines of one role within a message
 become canonical turns, without their markers.
 
-Conversations may be of any length. They are cut into blocks of ``BLOCK_TURNS`` turn numbers. Each block is reduced to the
+Conversations may be of any length. They are cut into blocks of ``BLOCK_TURNS`` turn numbers; a block of more than
+``BLOCK_ROWS`` rows (turn numbers that repeat or are null) is cut again by the order of its rows. Each block is reduced to the
 best score between every pair of roles at its ends (a matrix of nine numbers); those matrices, one row per block,
 fix the roles at the ends of all blocks; then each block is decoded by itself. The result is that of Viterbi over the
 whole conversation. Equal scores go to the role that is first in ``ROLES``.
 
 A null text is an empty line. A null turn number counts as -1, and rows without a conversation id are one
-conversation. Rows of the same conversation and turn are ordered by their text. Text moves once, by block.
+conversation. Rows of the same conversation and turn are ordered by their text. Text moves once, by block; that of
+blocks with too many rows moves once more, when they are sorted.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +36,7 @@ from kerbline.llm.common import map_arrow, ship_package, stored
 
 ROLES = ("system", "user", "assistant")
 BLOCK_TURNS = 512
+BLOCK_ROWS = 1024
 #: Pseudo-counts: of every value of a line feature, of a marker that names the role, and of one that names another.
 SMOOTHING = 0.5
 OWN_MARKER = 20.0
@@ -126,11 +130,19 @@ def model_of(first: np.ndarray, between: np.ndarray, features: list[np.ndarray])
 # ---- fitting ------------------------------------------------------------------------------------
 
 
+def turn_of(turn_col: str) -> Column:
+    return F.coalesce(F.col(turn_col), F.lit(-1)).cast("long")
+
+
+def block_of(turn: Column) -> Column:
+    return F.floor(turn / BLOCK_TURNS).cast("long")
+
+
 def observed(chats: DataFrame, conv_col: str, turn_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """``conv, turn, text, block``, the columns ``keep``, and ``codes`` of each message's lines."""
     rows = chats.select(
         F.col(conv_col).alias("conv"),
-        F.coalesce(F.col(turn_col), F.lit(-1)).cast("long").alias("turn"),
+        turn_of(turn_col).alias("turn"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         *(F.col(f"`{name}`") for name in keep),
     )
@@ -143,7 +155,7 @@ def observed(chats: DataFrame, conv_col: str, turn_col: str, text_col: str, keep
 
     added = [T.StructField("codes", T.ArrayType(T.IntegerType()))]
     rows = map_arrow(rows, ["text"], rows.columns, added, work)
-    return rows.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS).cast("long"))
+    return rows.withColumn("block", block_of(F.col("turn")))
 
 
 def fit(
@@ -228,7 +240,7 @@ def block_roles(model: Model, messages: list[list[int]], opens: bool, before: in
 
 def block_ends(blocks: pd.DataFrame) -> pd.DataFrame:
     """Roles in front and at the end of each block of one conversation, from the blocks' matrices."""
-    blocks = blocks.sort_values("block", kind="stable")
+    blocks = blocks.sort_values(["block", "sub"], kind="stable")
     size = len(ROLES)
     score, back = np.array([0.0] + [-np.inf] * (size - 1)), []
     for matrix in blocks["matrix"]:
@@ -240,7 +252,7 @@ def block_ends(blocks: pd.DataFrame) -> pd.DataFrame:
         last.append(role)
         role = int(came_from[role])
         before.append(role)
-    return pd.DataFrame({"conv": blocks["conv"], "block": blocks["block"], "before": before[::-1], "last": last[::-1]})
+    return pd.DataFrame({"conv": blocks["conv"], "block": blocks["block"], "sub": blocks["sub"], "before": before[::-1], "last": last[::-1]})
 
 
 
@@ -257,7 +269,43 @@ def turns_of(text: str, roles: list[int]) -> list[tuple[str, str]]:
 
 def in_blocks(rows: DataFrame) -> DataFrame:
     """Rows of a block together and in order."""
-    return rows.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "text")
+    return rows.repartition("conv", "block", "sub").sortWithinPartitions("conv", "block", "sub", "turn", "text")
+
+
+def cut_by_rows(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``keys`` (their ``conv, block``) with ``sub``, so that no ``conv, block, sub`` has over ``BLOCK_ROWS`` rows.
+
+    Rows of too large blocks are sorted over all tasks, equal ones too; each task numbers stretches of its rows. The
+    numbers follow the order of the rows.
+    """
+    limit = BLOCK_ROWS
+    large = keys.groupBy("conv", "block").count().where(F.col("count") > limit)
+    large = stored(large.select(F.col("conv").alias("large_conv"), F.col("block").alias("large_block")), "large-blocks")
+    # At most one in ``BLOCK_ROWS`` rows.
+    there = F.col("conv").eqNullSafe(F.col("large_conv")) & (F.col("block") == F.col("large_block"))
+    first = F.lit(0).cast("long")
+    if large.isEmpty():
+        return rows.withColumn("sub", first), keys.withColumn("sub", first)
+    large = F.broadcast(large)
+    held = rows.join(large, there, "left_semi").withColumn("__tie", F.monotonically_increasing_id())
+    order = ["conv", "block", "turn", "text", "__tie"]
+    held = held.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie")
+
+    def number(batches):
+        current, count, stretch = None, 0, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            subs = []
+            for key in zip(batch.column("conv").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if key != current or count == limit:
+                    current, count, stretch = key, 0, stretch + 1
+                count += 1
+                subs.append(stretch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(subs, pa.int64())], names=[*batch.schema.names, "sub"])
+
+    schema = T.StructType([*held.schema.fields, T.StructField("sub", T.LongType())])
+    held = stored(held.mapInArrow(number, schema), "cut-chats")
+    rest, others = (df.join(large, there, "left_anti").withColumn("sub", first) for df in (rows, keys))
+    return rest.unionByName(held), others.unionByName(held.select("conv", "block", "sub"))
 
 
 def format_chats(
@@ -267,33 +315,41 @@ def format_chats(
     spark = chats.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = observed(chats, conv_col, turn_col, text_col, [])
-    blocks = rows.groupBy("conv").agg(F.min("block").alias("first_block"), F.max("block").alias("last_block"))
+    keys = chats.select(F.col(conv_col).alias("conv"), block_of(turn_of(turn_col)).alias("block"))
+    rows, keys = cut_by_rows(observed(chats, conv_col, turn_col, text_col, []), keys)
+    place = F.struct("block", "sub")
+    blocks = keys.groupBy("conv").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # Only conversations of several blocks need the first pass.
-    several = stored(blocks.where("first_block < last_block"), "long-chats")
+    several = blocks.where("first < last").select("conv", F.col("first.block").alias("first_block"), F.col("first.sub").alias("first_sub"))
+    several = stored(several, "long-chats")
     conv_type = rows.schema["conv"].dataType
 
     def matrices(batches):
-        for group in sorted_groups(batches, ["conv", "block"]):
-            opens = group[0]["block"] == group[0]["first_block"]
+        for group in sorted_groups(batches, ["conv", "block", "sub"]):
+            opens = (group[0]["block"], group[0]["sub"]) == (group[0]["first_block"], group[0]["first_sub"])
             matrix = block_matrix(shared.value, [row["codes"] for row in group], opens)
-            one = {"conv": [group[0]["conv"]], "block": [group[0]["block"]], "matrix": [matrix.ravel().tolist()]}
+            one = {name: [group[0][name]] for name in ("conv", "block", "sub")} | {"matrix": [matrix.ravel().tolist()]}
             yield pa.RecordBatch.from_pydict(one, schema=matrix_arrow)
 
     matrix_schema = T.StructType(
-        [T.StructField("conv", conv_type), T.StructField("block", T.LongType()), T.StructField("matrix", T.ArrayType(T.DoubleType()))]
+        [
+            T.StructField("conv", conv_type),
+            T.StructField("block", T.LongType()),
+            T.StructField("sub", T.LongType()),
+            T.StructField("matrix", T.ArrayType(T.DoubleType())),
+        ]
     )
     arrow_conv = pa.string() if conv_type == T.StringType() else pa.int32() if conv_type == T.IntegerType() else pa.int64()
-    matrix_arrow = pa.schema([("conv", arrow_conv), ("block", pa.int64()), ("matrix", pa.list_(pa.float64()))])
+    matrix_arrow = pa.schema([("conv", arrow_conv), ("block", pa.int64()), ("sub", pa.int64()), ("matrix", pa.list_(pa.float64()))])
     long_rows = rows.join(several, rows["conv"].eqNullSafe(several["conv"])).drop(several["conv"])
-    made = in_blocks(long_rows.select("conv", "block", "turn", "text", "codes", "first_block")).mapInArrow(matrices, matrix_schema)
-    ends_schema = T.StructType([*matrix_schema.fields[:2], T.StructField("before", T.IntegerType()), T.StructField("last", T.IntegerType())])
+    made = in_blocks(long_rows.select("conv", "block", "sub", "turn", "text", "codes", "first_block", "first_sub")).mapInArrow(matrices, matrix_schema)
+    ends_schema = T.StructType([*matrix_schema.fields[:3], T.StructField("before", T.IntegerType()), T.StructField("last", T.IntegerType())])
     ends = stored(made.groupBy("conv").applyInPandas(block_ends, ends_schema), "chat-ends")
 
     def decode(batches):
-        for group in sorted_groups(batches, ["conv", "block"]):
+        for group in sorted_groups(batches, ["conv", "block", "sub"]):
             head = group[0]
-            opens = head["before"] is None or head["block"] == head["first_block"]
+            opens = head["before"] is None or (head["block"], head["sub"]) == (head["first_block"], head["first_sub"])
             before, last = (0, -1) if head["before"] is None else (head["before"], head["last"])
             roles = block_roles(shared.value, [row["codes"] for row in group], opens, before, last)
             out = {name: [] for name in ("conv", "turn", "part", "role", "content")}
@@ -316,12 +372,14 @@ def format_chats(
             T.StructField("content", T.StringType()),
         ]
     )
-    first_blocks = several.select(F.col("conv").alias("long_conv"), "first_block")
+    first_blocks = several.select(F.col("conv").alias("long_conv"), "first_block", "first_sub")
     known_ends = ends.join(first_blocks, F.col("conv").eqNullSafe(F.col("long_conv")))
-    known_ends = known_ends.select(F.col("conv").alias("end_conv"), F.col("block").alias("end_block"), "before", "last", "first_block")
-    joined = rows.join(
-        known_ends, F.col("conv").eqNullSafe(F.col("end_conv")) & (F.col("block") == F.col("end_block")), "left"
-    ).drop("end_conv", "end_block")
+    ends_of = {"end_conv": "conv", "end_block": "block", "end_sub": "sub"}
+    known_ends = known_ends.select(
+        *(F.col(name).alias(end) for end, name in ends_of.items()), "before", "last", "first_block", "first_sub"
+    )
+    same = F.col("conv").eqNullSafe(F.col("end_conv")) & (F.col("block") == F.col("end_block")) & (F.col("sub") == F.col("end_sub"))
+    joined = rows.join(known_ends, same, "left").drop(*ends_of)
     turns = in_blocks(joined).mapInArrow(decode, turn_schema)
     return turns.select(
         F.col("conv").alias(conv_col),
