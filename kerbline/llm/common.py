@@ -18,8 +18,11 @@ from kerbline.session import scratch_path
 
 #: A set of ids is broadcast up to this many rows (a few dozen MB as a hash table of longs).
 BROADCAST_IDS = 1_000_000
-#: Rows a task turns into Python values at a time.
+#: Rows, and about how many bytes, a task turns into Python values at a time.
 SLICE_ROWS = 1_000
+SLICE_BYTES = 8 << 20
+#: A key is hot when it holds more than one in this many rows.
+HOT_SHARE = 1_000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +59,16 @@ def _ship(_application: str, context) -> None:
     context.addPyFile(archive)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch within both limits; a row beyond them is a part of its own."""
+    if batch.num_rows > 1 and (batch.num_rows > SLICE_ROWS or batch.nbytes > SLICE_BYTES):
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
+
+
 def map_arrow(
     df: DataFrame,
     inputs: list[str],
@@ -76,7 +89,7 @@ def map_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = work()
-        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
+        for batch in (part for whole in batches for part in slices(whole)):
             made = compute(*(batch.column(needed.index(name)) for name in inputs))
             yield pa.RecordBatch.from_arrays([*(batch.column(needed.index(name)) for name in keep), *made], names=names)
 
@@ -98,3 +111,31 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     if dropped.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+def join_hot(rows: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` to ``dim``, which has one row per key; keys are not null.
+
+    Keys that hold more than one in ``HOT_SHARE`` of the rows, so at most that many, are looked up by broadcast; the
+    others are shuffled. ``rows`` is read three times and has to be a stored table.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    total = rows.count()
+    hot = counts.where(F.col("__rows") * HOT_SHARE > total).select(*keys).collect() if total > HOT_SHARE else []
+    return _split_join(rows, dim, keys, hot)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str) -> DataFrame:
+    """``join_hot`` where ``groups`` (a stored table) says itself in ``size_col`` how many of ``rows`` hold its key."""
+    total = groups.agg(F.sum(size_col)).first()[0] or 0
+    hot = groups.where(F.col(size_col) * HOT_SHARE > total).select(*keys).collect() if total > HOT_SHARE else []
+    return _split_join(rows, groups, keys, hot)
+
+
+def _split_join(rows: DataFrame, dim: DataFrame, keys: list[str], hot: list) -> DataFrame:
+    if not hot:
+        return rows.join(dim, keys)
+    schema = T.StructType([rows.schema[key] for key in keys])
+    known = F.broadcast(rows.sparkSession.createDataFrame(hot, schema))
+    by_broadcast = rows.join(F.broadcast(dim.join(known, keys, "left_semi")), keys)
+    return by_broadcast.unionByName(rows.join(known, keys, "left_anti").join(dim, keys))

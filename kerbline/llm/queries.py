@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, decontaminate, exact_dedup, language, quality, shards, simhash, sql, toxicity, transcripts, url_filter
+from kerbline.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    language,
+    merkle,
+    quality,
+    shards,
+    simhash,
+    sql,
+    toxicity,
+    transcripts,
+    url_filter,
+)
 from kerbline.llm.common import delete_on_exit, fold
 from kerbline.session import scratch_path
 
@@ -143,6 +157,35 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe.encode(docs, tokenizer, keep=["doc_id"], decoded_col="decoded"), ["doc_id"])
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Every so many documents, by crc32 of the id, are tampered with before their proofs are checked.
+TAMPERED = 3
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, checked against the root with its text as it is or tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", url_filter.UPPER, url_filter.LOWER)
+    leaf = merkle.leaf_hash(*fields, F.col("text"))
+    given = F.when(fold(F.col("doc_id"), TAMPERED) == 0, merkle.leaf_hash(*fields, lowered))
+    leaves = docs.select("doc_id", "lang", leaf.alias("leaf"), given.alias("tampered"))
+    proven = merkle.prove(merkle.build(leaves))
+    folded = merkle.fold_proof(F.coalesce("tampered", "leaf"), F.col("proof"), F.col("places"))
+    rows = proven.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -156,6 +199,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_quality,
         op10_byte_bpe,
+        op11_filter_audit,
+        op12_merkle_manifest,
     )
 }
 
@@ -163,4 +208,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_url_filter": sql.url_verdicts(URL_RULES),
     "op7_exact_dedup": sql.EXACT_DEDUP,
+    "op11_filter_audit": sql.filter_audit(),
+    "op12_merkle_manifest": sql.merkle_manifest(merkle.ARITY),
 }

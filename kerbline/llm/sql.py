@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+from kerbline.llm import filter_audit as filter_audit_module
 from kerbline.llm import url_filter
 
 EXACT_DEDUP = r"""
@@ -87,3 +90,122 @@ WITH parts AS (
 SELECT page_id, host, path, {_rule_cases(rules, "text")} AS rule, coalesce({_rule_cases(rules, "verdict")}, reputation) AS verdict
 FROM parts JOIN reputations USING (host)
 """
+
+
+# ---- filter interaction audit -------------------------------------------------------------------
+
+
+def filter_audit() -> str:
+    """Every order applied step by step to failure masks counted by part."""
+    letters = filter_audit_module.LETTERS
+    values = ", ".join(
+        f"('{''.join(order)}', {step}, {sum(1 << letters.index(c) for c in order[: step - 1])}, {1 << letters.index(order[step - 1])})"
+        for order in permutations(letters)
+        for step in range(1, len(letters) + 1)
+    )
+    return rf"""
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), worded AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals,
+        min(doc_id) OVER (PARTITION BY text) AS first_id
+    FROM texts
+), masked AS (
+    SELECT part, doc_id,
+        CAST(len(words) < {filter_audit_module.MIN_WORDS} AS integer)
+        + 2 * CAST(100 * len(list_distinct(words)) < {filter_audit_module.DISTINCT_PERCENT} * len(words) AS integer)
+        + 4 * CAST(100 * capitals > {filter_audit_module.UPPER_PERCENT} * length(text) AS integer)
+        + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS integer)
+        + 16 * CAST(first_id IS NOT NULL AND (doc_id IS NULL OR doc_id > first_id) AS integer) AS mask
+    FROM worded
+), flags AS (
+    SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS integer)) AS good, max(CAST(coalesce(toxic = 1, false) AS integer)) AS toxic
+    FROM labels GROUP BY doc_id
+), counts AS (
+    SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM masked LEFT JOIN flags USING (doc_id) GROUP BY part, mask
+), orders AS (
+    SELECT * FROM (VALUES {values}) AS t(filter_order, step, state, own)
+), steps AS (
+    SELECT part, filter_order, step, own,
+        CAST(coalesce(sum(n) FILTER (mask & (state | own) = 0), 0) AS bigint) AS kept,
+        CAST(coalesce(sum(n) FILTER (mask & state = 0 AND mask & own <> 0), 0) AS bigint) AS removed,
+        CAST(coalesce(sum(n) FILTER (mask & state <> 0 AND mask & own <> 0), 0) AS bigint) AS redundant,
+        CAST(coalesce(sum(n) FILTER (mask = own), 0) AS bigint) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (mask & state = 0 AND mask & own <> 0), 0) AS bigint) AS good_lost,
+        CAST(coalesce(sum(toxic) FILTER (mask & state = 0 AND mask & own <> 0), 0) AS bigint) AS toxic_lost
+    FROM counts, orders GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, own) AS bigint) AS shapley
+FROM steps
+"""
+
+
+# ---- Merkle manifest ----------------------------------------------------------------------------
+
+#: Levels of a group's tree and of the tree above that the twin is written out for.
+GROUP_LEVELS, TOP_LEVELS = 8, 4
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of ASCII text, byte by byte and bit by bit."""
+    halved = "list_reduce(list_prepend(xor(c, b), CAST(range(8) AS ubigint[])), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::ubigint) ELSE v >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS ubigint))"
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, {codes}), lambda c, b: {halved}), 4294967295::ubigint)"
+
+
+def _encoded(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS varchar)) || ':' || CAST({value} AS varchar), '-')"
+
+
+def merkle_manifest(arity: int) -> str:
+    def levels(prefix: str, count: int) -> str:
+        """Tables of nodes and of runs, level by level; a tree of one node stays as it is."""
+        made = []
+        for k in range(count):
+            made.append(f"{prefix}_runs{k} AS (SELECT g, idx // {arity} AS run, n, list(h ORDER BY idx) AS hs FROM {prefix}{k} GROUP BY ALL)")
+            made.append(
+                f"{prefix}{k + 1} AS (SELECT g, run AS idx, CASE WHEN n > 1 THEN (n + {arity - 1}) // {arity} ELSE n END AS n,"
+                f" CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {prefix}_runs{k})"
+            )
+        return ", ".join(made)
+
+    def climbs(prefix: str, first: int, count: int, at: str) -> str:
+        """The way of each document up a tree: what its siblings are and what its own branch folds to."""
+        made = []
+        for k in range(count):
+            place = f"(p.{at} // {arity**k}) % {arity}"
+            before, after = f"array_to_string(hs[:{place}], '')", f"array_to_string(hs[{place} + 2:], '')"
+            tree = "p.g" if prefix == "n" else "0"
+            made.append(
+                f"p{first + k + 1} AS (SELECT p.* REPLACE (CASE WHEN n > 1 THEN proof || {before} || {after} ELSE proof END AS proof,"
+                f" CASE WHEN n > 1 THEN sha256({before} || folded || {after}) ELSE folded END AS folded)"
+                f" FROM p{first + k} p JOIN {prefix}_runs{k} r ON r.g = {tree} AND r.run = p.{at} // {arity ** (k + 1)})"
+            )
+        return ", ".join(made)
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(_encoded(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lowered = f"translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    return f"""
+WITH hashed AS (
+    SELECT doc_id, lang, {leaf("text")} AS leaf,
+        CASE WHEN {_crc32("CAST(doc_id AS varchar)")} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS given
+    FROM documents
+), placed AS (
+    SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+    FROM hashed
+), n0 AS (
+    SELECT g, pos AS idx, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM placed
+), {levels("n", GROUP_LEVELS)}, t0 AS (
+    SELECT 0 AS g, g AS idx, h, count(*) OVER () AS n FROM n{GROUP_LEVELS}
+), {levels("t", TOP_LEVELS)}, p0 AS (
+    SELECT doc_id, leaf, g, pos, '' AS proof, given AS folded FROM placed
+), {climbs("n", 0, GROUP_LEVELS, "pos")}, {climbs("t", GROUP_LEVELS, TOP_LEVELS, "g")}
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+FROM p{GROUP_LEVELS + TOP_LEVELS} p JOIN n{GROUP_LEVELS} s USING (g), t{TOP_LEVELS} r
+"""
