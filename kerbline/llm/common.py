@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 import kerbline
 from kerbline.session import scratch_path
 
-#: A set of ids is broadcast up to this many rows (a few dozen MB as a hash table of longs).
+#: A set of ids or rows is broadcast up to this many (a few dozen MB as a hash table).
 BROADCAST_IDS = 1_000_000
 #: Rows, and about how many bytes, a task turns into Python values at a time.
 SLICE_ROWS = 1_000
@@ -101,16 +101,36 @@ def fold(id_column: Column, folds: int) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % folds
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``docs`` whose id is not in the column ``id_col`` of ``dropped``; rows with a null id stay.
+def with_row(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and, in ``name``, what tells its rows apart even if they are equal: the file and the place in it.
+
+    The rows of a Parquet scan have both by themselves. Anything else is stored first, so that the same row has the
+    same place whenever it is read.
+    """
+    if not _is_scan(docs):
+        docs = stored(docs, "rows")
+    place = docs.metadataColumn("_metadata")
+    return docs.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")))
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is a row of a Parquet file: a scan, with columns chosen or rows filtered at most."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.simpleString(1_000).lower()
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, row_col: str) -> DataFrame:
+    """Rows of ``docs`` (a result of ``with_row``) but those whose ``row_col`` is the column ``row`` of ``dropped``.
 
     ``dropped`` has to be a stored table. It is broadcast when it has at most ``BROADCAST_IDS`` rows;
     beyond that the join shuffles both sides.
     """
-    gone = dropped.select(F.col(id_col).alias("__gone")).distinct()
+    gone = dropped.select(F.col("row").alias("__gone"))
     if dropped.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs[row_col] == gone["__gone"], "left_anti").drop(row_col)
 
 
 def join_hot(rows: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,9 +145,13 @@ def join_hot(rows: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
     return _split_join(rows, dim, keys, hot)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str) -> DataFrame:
-    """``join_hot`` where ``groups`` (a stored table) says itself in ``size_col`` how many of ``rows`` hold its key."""
-    total = groups.agg(F.sum(size_col)).first()[0] or 0
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int | None = None) -> DataFrame:
+    """``join_hot`` where ``groups`` says itself in ``size_col`` how many of ``rows`` hold its key.
+
+    ``total`` is the number of rows, where it is known.
+    """
+    if total is None:
+        total = groups.agg(F.sum(size_col)).first()[0] or 0
     hot = groups.where(F.col(size_col) * HOT_SHARE > total).select(*keys).collect() if total > HOT_SHARE else []
     return _split_join(rows, groups, keys, hot)
 

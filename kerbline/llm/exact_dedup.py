@@ -7,9 +7,10 @@ chunk texts that share a hash get different ranks. Texts are then compared by th
 identifiers, so that a long text is moved once, as chunks that were combined before the shuffle.
 
 Two texts are equal when they are the same after each run of ``[\\x20\\x09-\\x0D]`` became one space; null counts as
-empty. The row with the smallest id stays (rows that share an id stay together; a null id stays only where its
-group has no other). A group may be of any size: it is counted with partial aggregates and looked up by a
-join that splits hot keys.
+empty. The row with the smallest id stays (``kept`` marks the rows that share this id; a null id stays only where its
+group has no other). ``drop_exact_duplicates`` keeps exactly one row of each group, also among rows that share an id or
+have none. A group may be of any size: it is counted with partial aggregates, and groups of more than one in
+``common.HOT_SHARE`` of the rows are looked up by broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import stored, without_ids
+from kerbline.llm.common import join_groups, stored, with_row, without_rows
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Words of a chunk, on average (a power of two) and at most.
@@ -111,14 +112,11 @@ def exact_duplicates(
     chunk_hash: Callable[[Column], Column] = F.xxhash64,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
-    rows = stored(recipes(docs, id_col, text_col, chunk_hash), "chunk-recipes")
-    key = F.xxhash64("ids", "ranks").alias("key")
-    groups = rows.groupBy(key, "ids", "ranks").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.withColumnsRenamed({"ids": "group_ids", "ranks": "group_ranks", "key": "group_key"})
-    joined = rows.withColumn("key", key).join(
-        groups,
-        (F.col("key") == F.col("group_key")) & (F.col("ids") == F.col("group_ids")) & (F.col("ranks") == F.col("group_ranks")),
-    )
+    rows = recipes(docs, id_col, text_col, chunk_hash)
+    rows = stored(rows.withColumn("key", F.xxhash64("ids", "ranks")), "chunk-recipes")
+    keys = ["key", "ids", "ranks"]
+    groups = rows.groupBy(*keys).agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    joined = join_groups(rows, stored(groups, "chunk-groups"), keys, "group_size")
     return joined.select(
         F.col("id").alias(id_col),
         "keep_id",
@@ -129,7 +127,9 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ids have to be unique, rows without one stay."""
-    marks = exact_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    dropped = stored(marks.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col), "exact-dropped")
-    return without_ids(docs, dropped, id_col)
+    """One row of ``docs`` of each group, that of the smallest id (of the first row where ids are equal), with all its columns."""
+    numbered = with_row(docs, "__row")
+    order = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    marks = exact_duplicates(numbered.select(order.alias("__order"), F.col(text_col).alias("__text")), "__order", "__text")
+    dropped = marks.where(~F.col("kept")).select("__order.row")
+    return without_rows(numbered, stored(dropped, "exact-dropped"), "__row")

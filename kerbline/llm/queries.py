@@ -15,6 +15,7 @@ from kerbline.llm import (
     filter_audit,
     language,
     merkle,
+    minhash,
     quality,
     shards,
     simhash,
@@ -186,6 +187,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+#: Links of the near-duplicate query: three words, a similarity of 85 in 100; texts without words are linked with nothing.
+NEAR = minhash.Settings(words=3, similarity=(85, 100), bands=40, link_empty=False)
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -201,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_byte_bpe,
         op11_filter_audit,
         op12_merkle_manifest,
+        op13_minhash_near_dedup,
     )
 }
 
@@ -210,4 +220,5 @@ ORACLES: dict[str, str] = {
     "op7_exact_dedup": sql.EXACT_DEDUP,
     "op11_filter_audit": sql.filter_audit(),
     "op12_merkle_manifest": sql.merkle_manifest(merkle.ARITY),
+    "op13_minhash_near_dedup": sql.near_duplicates(NEAR.words, NEAR.similarity),
 }

@@ -11,6 +11,11 @@ Equal fingerprints are one entry of the index. Posting lists up to ``LIST_ENTRIE
 Longer ones are split into blocks of about that size and compared block by block inside tasks, which give back
 no more links per block pair than connect it; nothing is capped and no link between components is lost.
 
+The index serves a second use, ``drop_near_duplicates``, which keeps one of the texts that are similar by their
+five-word shingles. Pairs at a Jaccard similarity of 0.8 differ in about ten of 64 bits, more than any index of positional
+bytes reaches without lists as long as the corpus; so the index proposes the pairs within three bits of five-word
+fingerprints, the bands of ``minhash.py`` propose the more distant ones, and all are confirmed on the full sets.
+
 Texts are read whole; null and texts without words have fingerprint zero. Components are named by their
 smallest id; rows whose id is null take part with their text but name no component.
 """
@@ -28,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbline.llm.common import map_arrow, ship_package, stored, without_ids
+from kerbline.llm import minhash
+from kerbline.llm.common import join_groups, map_arrow, ship_package, stored
 from kerbline.llm.components import components
 
 SEED = 42
@@ -164,21 +170,31 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``fingerprint`` (16 hex digits) and ``component_id``."""
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-classes")
+    classes = prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("held"))
+    classes = stored(classes, "fingerprint-classes")
     linked = components(links(classes.where("rep is not null"), list_entries))
-    named = classes.join(linked, classes["rep"] == linked["node"], "left").select(
-        F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id")
-    )
-    joined = prints.join(named, F.col("fp") == F.col("class_fp"))
-    return joined.select(
+    named = classes.join(linked, classes["rep"] == linked["node"], "left")
+    named = stored(named.select("fp", "held", F.coalesce("component", "rep").alias("component_id")), "fingerprint-names")
+    return join_groups(prints, named, ["fp"], "held").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id of each component, with all its columns; rows without an id stay."""
-    marks = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    dropped = marks.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return without_ids(docs, stored(dropped, "near-dropped"), id_col)
+def position_candidates(classes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of classes (``cls, fp``) that the byte-position index links, and of classes with one fingerprint."""
+    prints = classes.groupBy("fp").agg(F.min("cls").alias("rep"), F.count("*").alias("held"))
+    prints = stored(prints, "fingerprint-classes")
+    same = join_groups(classes, prints, ["fp"], "held").where("cls <> rep")
+    return same.select(F.col("rep").alias("a"), F.col("cls").alias("b")).unionByName(links(prints.select("fp", "rep")))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, settings: minhash.Settings = minhash.Settings(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each group of texts linked by ``settings``, that of the smallest id, with all its columns.
+
+    Candidates are those of the byte-position index and of the signature bands; each link is confirmed on full sets.
+    """
+    return minhash.drop_near_duplicates(docs, settings, id_col, text_col, position_candidates)

@@ -92,6 +92,37 @@ FROM parts JOIN reputations USING (host)
 """
 
 
+# ---- near-duplicates by similarity --------------------------------------------------------------
+
+
+def near_duplicates(words: int, similarity: tuple[int, int]) -> str:
+    """Every pair of documents that share a shingle, by the full sets of their shingles."""
+    part, whole = similarity
+    span = f"least({words}, len(words))"
+    return rf"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^ 	-]+') AS words
+    FROM documents
+), sets AS (
+    SELECT doc_id, list_distinct(list_transform(range(1, len(words) - {span} + 2), lambda i: array_to_string(words[i:i + {span} - 1], ' '))) AS shingles
+    FROM worded WHERE len(words) > 0
+), entries AS (
+    SELECT doc_id, len(shingles) AS size, unnest(shingles) AS shingle FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        AND {part} * a.size <= {whole} * b.size AND {part} * b.size <= {whole} * a.size
+    GROUP BY a.doc_id, b.doc_id, a.size, b.size HAVING {whole} * count(*) >= {part} * (a.size + b.size - count(*))
+), reached AS (
+    SELECT doc_id AS node, doc_id AS low FROM documents
+    UNION
+    SELECT b, low FROM reached JOIN links ON a = node WHERE low < b
+)
+SELECT doc_id, CAST(coalesce(len(shingles), 0) AS bigint) AS n_shingles, min(low) AS component_id, doc_id = min(low) AS kept
+FROM documents LEFT JOIN sets USING (doc_id) JOIN reached ON node = doc_id GROUP BY doc_id, shingles
+"""
+
+
 # ---- filter interaction audit -------------------------------------------------------------------
 
 
