@@ -101,14 +101,15 @@ def near_duplicates(words: int, similarity: tuple[int, int]) -> str:
     span = f"least({words}, len(words))"
     return rf"""
 WITH RECURSIVE worded AS (
-    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^ 	-]+') AS words
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^ 	-
+]+') AS words
     FROM documents
-), sets AS (
+), sets AS MATERIALIZED (
     SELECT doc_id, list_distinct(list_transform(range(1, len(words) - {span} + 2), lambda i: array_to_string(words[i:i + {span} - 1], ' '))) AS shingles
     FROM worded WHERE len(words) > 0
-), entries AS (
+), entries AS MATERIALIZED (
     SELECT doc_id, len(shingles) AS size, unnest(shingles) AS shingle FROM sets
-), links AS (
+), links AS MATERIALIZED (
     SELECT a.doc_id AS a, b.doc_id AS b
     FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
         AND {part} * a.size <= {whole} * b.size AND {part} * b.size <= {whole} * a.size
