@@ -162,3 +162,8 @@ ROAD_EDGES = [
 HOSPITALS = ["King_Fahd_Hospital", "Al_Noor_Hospital"]
 DEFAULT_HOSPITAL = "Al_Noor_Hospital"
 ZONES = ["north", "central", "west", "south", "east"]
+
+# --- fixed values: names of the three deciding agents ---
+VEHICLE_AGENT = "VehicleAgent"
+INCIDENT_AGENT = "IncidentDetectionAgent"
+SIGNAL_AGENT = "TrafficLightAgent"

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline import fixed
 from kerbline.functions.cells import cases
-from kerbline.operators.graph import alert_text, nearest_target, with_neighbors
-from kerbline.operators.lookup import lookup
+from kerbline.operators.graph import NeighborLists, alert_text, attach_neighbors, nearest_target, neighbor_lists
+from kerbline.operators.lookup import fits_broadcast, lookup
 from kerbline.operators.retrieval import cut_texts, retrieve
-from kerbline.session import pin
+from kerbline.session import pin, store
 
 PROFILE = ["congestion", "vehicle_type", "weather", "is_emergency", "_label"]
 
@@ -103,14 +105,25 @@ def _prepared(records: DataFrame, label_col: str) -> DataFrame:
     )
 
 
-def with_contexts(prepared: DataFrame, policies: DataFrame, protocols: DataFrame) -> DataFrame:
-    """Add the three retrieved texts.
+def all_profiles(spark: SparkSession) -> DataFrame:
+    """Every combination of the values a clean record can have in the ``PROFILE`` columns."""
+    values = {
+        "congestion": fixed.CONGESTION_LEVELS,
+        "vehicle_type": fixed.VEHICLE_TYPES,
+        "weather": fixed.WEATHER_CONDITIONS,
+        "is_emergency": [False, True],
+        "_label": fixed.SEVERITIES,
+    }
+    rows = spark.range(1).select()
+    for name in PROFILE:
+        rows = rows.select("*", F.explode(F.array(*map(F.lit, values[name]))).alias(name))
+    return rows
 
-    What is retrieved depends on five categorical columns only. Their distinct combinations are
-    taken in one pass, retrieval runs per distinct query text, and one lookup brings the texts back.
-    """
+
+def context_table(profiles: DataFrame, policies: DataFrame, protocols: DataFrame) -> DataFrame:
+    """The three retrieved texts of each profile; retrieval runs once per distinct query text."""
     severity = incident_severity(F.col("_label"), F.col("is_emergency"), F.col("congestion"))
-    profiles = pin(prepared.select(*PROFILE).distinct()).withColumns(
+    profiles = pin(profiles).withColumns(
         {
             "_vehicle_query": vehicle_query(),
             "_incident_query": incident_query(severity),
@@ -134,18 +147,38 @@ def with_contexts(prepared: DataFrame, policies: DataFrame, protocols: DataFrame
     for query_col, name, found, k, width, default in wanted:
         cut = cut_texts(asked(query_col), found, k, width, default).toDF(query_col, name)
         texts = texts.join(cut, query_col, "left")
-    texts = texts.drop(*[query_col for query_col, *_ in wanted])
-    return lookup(prepared, pin(texts), PROFILE)
+    return texts.drop(*[query_col for query_col, *_ in wanted])
 
 
-def with_nearest(prepared: DataFrame, edges: DataFrame, targets: DataFrame, default: str) -> DataFrame:
-    """Add the nearest target of each record's intersection; unknown intersections get the default."""
+def nearest_table(edges: DataFrame, targets: DataFrame, default: str) -> DataFrame:
+    """The nearest target of each node of the graph, as ``intersection_id, _nearest``."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    nearest = nearest_target(nodes, edges, targets, default).select(
+    return nearest_target(nodes, edges, targets, default).select(
         F.col("node").alias("intersection_id"), F.col("target").alias("_nearest")
     )
-    found = lookup(prepared, pin(nearest), ["intersection_id"])
-    return found.withColumn("_nearest", F.coalesce("_nearest", F.lit(default)))
+
+
+@dataclass(frozen=True)
+class Lookups:
+    """The tables that decisions look up, worked out and measured once."""
+
+    contexts: DataFrame
+    nearest: DataFrame
+    neighbors: NeighborLists
+    default_target: str
+    small_contexts: bool
+    small_nearest: bool
+
+
+def lookups(
+    profiles: DataFrame, edges: DataFrame, targets: DataFrame, policies: DataFrame, protocols: DataFrame, default_target: str
+) -> Lookups:
+    """What records of ``profiles`` need to be decided; the graph and the corpora are not read after this."""
+    contexts = store(context_table(profiles, policies, protocols), "contexts")
+    nearest = store(nearest_table(edges, targets, default_target), "nearest")
+    return Lookups(
+        contexts, nearest, neighbor_lists(edges), default_target, fits_broadcast(contexts), fits_broadcast(nearest)
+    )
 
 
 def vehicle_message(context: Column) -> Column:
@@ -174,7 +207,7 @@ def vehicle_struct() -> Column:
         ),
     ).otherwise(F.array().cast("array<string>"))
     return F.struct(
-        F.lit("VehicleAgent").alias("agent"),
+        F.lit(fixed.VEHICLE_AGENT).alias("agent"),
         vehicle_message(F.col("vehicle_context")).alias("message"),
         alerts.alias("alerts"),
         F.col("risk_score").alias("risk"),
@@ -186,7 +219,7 @@ def incident_struct() -> Column:
     """Reads ``_severity`` and ``_action``."""
     severity = F.col("_severity")
     return F.struct(
-        F.lit("IncidentDetectionAgent").alias("agent"),
+        F.lit(fixed.INCIDENT_AGENT).alias("agent"),
         "intersection_id",
         severity.alias("severity"),
         F.col("_label").alias("spark_predicted_sev"),
@@ -206,7 +239,7 @@ def signal_struct() -> Column:
         *[phase_seconds(i, severity, action, emergency).alias(n) for i, n in enumerate(["green", "yellow", "red"])]
     )
     return F.struct(
-        F.lit("TrafficLightAgent").alias("agent"),
+        F.lit(fixed.SIGNAL_AGENT).alias("agent"),
         "intersection_id",
         severity.alias("severity"),
         action.alias("action"),
@@ -232,10 +265,18 @@ def decide(
     further part holds the next neighbours and alerts and repeats the rest.
 
     Only small tables (profiles, graph nodes) are computed on the way; the records themselves pass
-    through one chain of lookups and expressions and are never collected.
+    through one chain of lookups and expressions and are never collected. What is retrieved depends on five categorical
+    columns only, whose distinct combinations are taken in one pass.
     """
-    prepared = _prepared(records, label_col)
-    enriched = with_nearest(with_neighbors(with_contexts(prepared, policies, protocols), edges), edges, targets, default_target)
+    profiles = _prepared(records, label_col).select(*PROFILE).distinct()
+    return decide_by(records, lookups(profiles, edges, targets, policies, protocols, default_target), label_col)
+
+
+def decide_by(records: DataFrame, tables: Lookups, label_col: str = "severity_label") -> DataFrame:
+    """``decide`` with the tables it looks up; runs no job of its own, so it also serves the micro-batches of a stream."""
+    known = lookup(_prepared(records, label_col), tables.contexts, PROFILE, small=tables.small_contexts)
+    near = lookup(attach_neighbors(known, tables.neighbors), tables.nearest, ["intersection_id"], small=tables.small_nearest)
+    enriched = near.withColumn("_nearest", F.coalesce("_nearest", F.lit(tables.default_target)))
     severity = incident_severity(F.col("_label"), F.col("is_emergency"), F.col("congestion"))
     ruled = enriched.withColumn("_severity", severity).withColumn("_action", recommended_action(F.col("_severity")))
     return ruled.select(

@@ -6,11 +6,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.operators.lookup import lookup, measured, spread_join
-from kerbline.session import pin
+from kerbline.operators.lookup import fits_broadcast, lookup, measured, spread_join
+from kerbline.session import pin, store
 
 LISTED_SUCCESSORS = 10_000
 LEVELS_PER_PIN = 10
@@ -91,28 +93,51 @@ def _by_levels(start: DataFrame, step, keys: list[str], max_hops: int | None) ->
     return reached
 
 
-def with_neighbors(records: DataFrame, edges: DataFrame, listed: int = LISTED_SUCCESSORS) -> DataFrame:
-    """Add the list of neighbouring nodes and its ``part``; an unknown intersection has an empty one.
+@dataclass(frozen=True)
+class NeighborLists:
+    """Successor lists by ``intersection_id``: of nodes with one list, and of hubs, whose lists have several parts."""
 
-    A record at a hub becomes one row per part of the hub's list, so that no list outgrows a row.
-    """
-    lists = pin(successor_lists(edges, listed).withColumnRenamed("node", "intersection_id"))
-    empty = F.array().cast(lists.schema["neighbors"].dataType)
+    one: DataFrame
+    hubs: DataFrame | None
+    #: Nodes of ``one`` and hubs alike, a hub without its lists.
+    marks: DataFrame
+    small_marks: bool
+    small_hubs: bool
+
+
+def neighbor_lists(edges: DataFrame, listed: int = LISTED_SUCCESSORS) -> NeighborLists:
+    """The lists that ``attach_neighbors`` looks up, worked out and measured once."""
+    lists = store(successor_lists(edges, listed).withColumnRenamed("node", "intersection_id"), "neighbors")
     one = lists.where(~F.col("hub")).drop("hub")
     hubs = lists.where("hub").drop("hub")
     if hubs.isEmpty():
-        found = lookup(records, one, ["intersection_id"])
-    else:
-        marks = one.withColumn("_hub", F.lit(False)).unionByName(
-            hubs.select("intersection_id").distinct().withColumn("_hub", F.lit(True)), allowMissingColumns=True
-        )
-        marked = lookup(records, pin(marks), ["intersection_id"])
-        at_hubs = marked.where(F.col("_hub")).drop("_hub", "neighbors", "part")
-        spread = spread_join(at_hubs, hubs, "intersection_id", "event_id")
-        found = marked.where(~F.coalesce("_hub", F.lit(False))).drop("_hub").unionByName(spread)
+        return NeighborLists(one, None, one, fits_broadcast(one), False)
+    marks = one.withColumn("_hub", F.lit(False)).unionByName(
+        hubs.select("intersection_id").distinct().withColumn("_hub", F.lit(True)), allowMissingColumns=True
+    )
+    marks = store(marks, "neighbor-marks")
+    return NeighborLists(one, hubs, marks, fits_broadcast(marks), fits_broadcast(hubs))
+
+
+def attach_neighbors(records: DataFrame, lists: NeighborLists) -> DataFrame:
+    """Add the list of neighbouring nodes and its ``part``; an unknown intersection has an empty one.
+
+    A record at a hub becomes one row per part of the hub's list, so that no list outgrows a row.
+    """
+    empty = F.array().cast(lists.one.schema["neighbors"].dataType)
+    found = lookup(records, lists.marks, ["intersection_id"], small=lists.small_marks)
+    if lists.hubs is not None:
+        at_hubs = found.where(F.col("_hub")).drop("_hub", "neighbors", "part")
+        spread = spread_join(at_hubs, lists.hubs, "intersection_id", "event_id", small=lists.small_hubs)
+        found = found.where(~F.coalesce("_hub", F.lit(False))).drop("_hub").unionByName(spread)
     return found.withColumns({"neighbors": F.coalesce("neighbors", empty), "part": F.coalesce("part", F.lit(0))})
 
 
+def with_neighbors(records: DataFrame, edges: DataFrame, listed: int = LISTED_SUCCESSORS) -> DataFrame:
+    """``attach_neighbors`` with the successors of ``edges``."""
+    return attach_neighbors(records, neighbor_lists(edges, listed))
+
+
 def spillover(records: DataFrame, edges: DataFrame, threshold: float = 75) -> DataFrame:
     """One row per high-risk record and neighbour, with the alert text."""
     risky = records.where(F.col("risk_score") >= threshold)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, StringIndexer, StringIndexerModel, Tokenizer
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kerbline import fixed
@@ -106,26 +107,99 @@ def confusion(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("label", "prediction").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def evaluate(predictions: DataFrame) -> DataFrame:
-    """Accuracy and weighted F1, four decimals, from one pass over the predictions."""
-    cells = confusion(predictions)
+def _scores(cells: DataFrame, *by: str) -> DataFrame:
+    """``accuracy`` and weighted ``f1`` of confusion counts (``label, prediction, n``), unrounded, per ``by``."""
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0.0)
     sides = cells.select(
+        *by,
         F.explode(
             F.array(
                 F.struct(F.col("label").alias("cls"), F.col("n").alias("actual"), F.lit(0.0).alias("guessed"), hit.alias("hits")),
                 F.struct(F.col("prediction").alias("cls"), F.lit(0.0).alias("actual"), F.col("n").alias("guessed"), F.lit(0.0).alias("hits")),
             )
-        ).alias("s")
+        ).alias("s"),
     )
-    per_class = sides.groupBy("s.cls").agg(
+    per_class = sides.groupBy(*by, "s.cls").agg(
         F.sum("s.actual").alias("actual"), F.sum("s.guessed").alias("guessed"), F.sum("s.hits").alias("hits")
     )
     f1 = 2 * F.col("hits") / (F.col("actual") + F.col("guessed"))
-    return per_class.agg(
-        F.round(F.sum("hits") / F.sum("actual"), 4).alias("accuracy"),
-        F.round(F.sum(f1 * F.col("actual")) / F.sum("actual"), 4).alias("f1"),
+    return per_class.groupBy(*by).agg(
+        (F.sum("hits") / F.sum("actual")).alias("accuracy"), (F.sum(f1 * F.col("actual")) / F.sum("actual")).alias("f1")
+    )
+
+
+def evaluate(predictions: DataFrame) -> DataFrame:
+    """Accuracy and weighted F1, four decimals, from one pass over the predictions."""
+    return _scores(confusion(predictions)).select(*(F.round(name, 4).alias(name) for name in ("accuracy", "f1")))
+
+
+REPLICATES = 200
+CONFIDENCE = 0.95
+BOOTSTRAP_SEED = 100
+DRAWS_PER_DIGEST = 4
+
+
+def poisson_steps() -> list[float]:
+    """The shares of a Poisson variable of mean 1 at most 0, 1, 2, ..., as far as 32 bits tell them from 1."""
+    steps, term, total = [], math.exp(-1), 0.0
+    while 1 - total > 2.0**-33:
+        total += term
+        steps.append(total)
+        term /= len(steps)
+    return steps
+
+
+def bootstrap_weights(predictions: DataFrame, key: str, replicates: int = REPLICATES) -> DataFrame:
+    """``label, prediction, replicate, weight`` of each prediction in each replicate it is drawn into.
+
+    A row's weights follow from its key alone (a Poisson draw of mean 1 each), so a task that runs again draws the same
+    and no replicate needs the rows together. One digest gives four draws.
+    """
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // DRAWS_PER_DIGEST) - 1)))
+    rows = predictions.select("label", "prediction", F.col(key).cast("string").alias("_key"), blocks.alias("_block"))
+    seed = (F.col("_block") + BOOTSTRAP_SEED).cast("string")
+    rows = rows.withColumn("_digest", F.md5(F.concat(seed, F.lit(":"), "_key")))
+
+    steps = F.array(*map(F.lit, poisson_steps()))
+
+    def weight(place: Column) -> Column:
+        drawn = F.conv(F.substring("_digest", 8 * place + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+        # The draw is bound as a lambda variable, so that it is not worked out again for every step.
+        return F.transform(F.array(drawn), lambda value: F.size(F.filter(steps, lambda step: value >= step)))[0]
+
+    places = F.sequence(F.lit(0), F.lit(DRAWS_PER_DIGEST - 1))
+    made = rows.select("label", "prediction", "_block", F.posexplode(F.transform(places, weight)).alias("_place", "weight"))
+    made = made.select("label", "prediction", (F.col("_block") * DRAWS_PER_DIGEST + F.col("_place")).alias("replicate"), "weight")
+    return made.where((F.col("weight") > 0) & (F.col("replicate") < replicates))
+
+
+def intervals(predictions: DataFrame, key: str, replicates: int = REPLICATES, confidence: float = CONFIDENCE) -> DataFrame:
+    """Accuracy and weighted F1 with the bounds of their bootstrap intervals, four decimals, in one row.
+
+    Weights are summed per replicate and pair of classes before the shuffle; what remains is ``replicates`` times the
+    squared number of classes. Without predictions all are null.
+    """
+    weighted = bootstrap_weights(predictions, key, replicates)
+    cells = weighted.groupBy("replicate", "label", "prediction").agg(F.sum("weight").cast("double").alias("n"))
+    drawn = _scores(cells, "replicate")
+    shares = [(1 - confidence) / 2, (1 + confidence) / 2]
+    bounds = drawn.agg(
+        *(
+            F.round(F.percentile(name, share), 4).alias(f"{name}_{side}")
+            for name in ("accuracy", "f1")
+            for side, share in zip(("low", "high"), shares, strict=True)
+        )
     )
+    both = evaluate(predictions).unionByName(bounds, allowMissingColumns=True)
+    return both.agg(*(F.max(name).alias(name) for name in both.columns))
+
+
+def store_predictions(predictions: DataFrame, key: str, classifier: str, condition: str, path: str) -> DataFrame:
+    """Write the key, class indices and names of scored test rows; what was written."""
+    folder = f"{path}/classifier={classifier}/condition={condition}"
+    rows = predictions.select(F.col(key).cast("string").alias("key"), "severity", "label", "prediction")
+    rows.write.mode("overwrite").parquet(folder)
+    return predictions.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
 def train_and_evaluate(
@@ -134,11 +208,18 @@ def train_and_evaluate(
     classifier: str = "logreg",
     condition: str = "clean",
     prepared: tuple[PipelineModel, DataFrame] | None = None,
+    keep: tuple[str, str] | None = None,
 ) -> tuple[PipelineModel, Row]:
-    """Fit and evaluate; ``prepared`` is the ``text_features`` of the training rows where they are known."""
+    """Fit and evaluate; ``prepared`` is the ``text_features`` of the training rows where they are known.
+
+    With ``keep``, the key column and a folder, the predictions are stored and evaluated as they were written.
+    """
     started = time.perf_counter()
     model = fit_classifier(*(prepared or text_features(train, classifier)), classifier)
-    scores = evaluate(model.transform(test)).first()
+    predictions = model.transform(test)
+    if keep:
+        predictions = store_predictions(predictions, keep[0], classifier, condition, keep[1])
+    scores = evaluate(predictions).first()
     elapsed = round(time.perf_counter() - started, 2)
     return model, Row(
         classifier=classifier,
@@ -150,25 +231,35 @@ def train_and_evaluate(
 
 
 def run_classifier(
-    corpus: DataFrame, key: str = "id", model_path: str | None = None, labels: list[str] = fixed.SEVERITIES
+    corpus: DataFrame,
+    key: str = "id",
+    model_path: str | None = None,
+    labels: list[str] = fixed.SEVERITIES,
+    predictions_path: str | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
     """Train both classifiers, save the first, run both drills; the model and one metrics row each.
 
+    With ``predictions_path`` the predictions behind each metrics row lie there by classifier and condition.
+
     Both classifiers take the same prepared rows, so the stages in front are fitted once. The two halves are
     persisted meanwhile.
     """
     spark = corpus.sparkSession
     kept = labelled(corpus)
+    keep = (key, predictions_path) if predictions_path else None
     train, test = (half.persist() for half in split_train_test(kept, key))
     try:
         prepared = text_features(train)
-        model, clean = train_and_evaluate(train, test, "logreg", "clean", prepared)
+        model, clean = train_and_evaluate(train, test, "logreg", "clean", prepared, keep)
         if model_path:
             model.write().overwrite().save(model_path)
-        _, svm = train_and_evaluate(train, test, "svm", "clean", prepared)
-        dropped = evaluate(model.transform(drop_out_text(test, key))).first()
+        _, svm = train_and_evaluate(train, test, "svm", "clean", prepared, keep)
+        dropped = model.transform(drop_out_text(test, key))
+        if keep:
+            dropped = store_predictions(dropped, key, "logreg", "null_20pct", predictions_path)
+        dropped = evaluate(dropped).first()
         no_text = Row(classifier="logreg", condition="null_20pct", elapsed_sec=None, **dropped.asDict())
-        _, noisy = train_and_evaluate(relabel(train, key, labels), test, "logreg", "noisy_labels_10pct")
+        _, noisy = train_and_evaluate(relabel(train, key, labels), test, "logreg", "noisy_labels_10pct", keep=keep)
     finally:
         train.unpersist()
         test.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from kerbline.operators import ml
+
 
 def rounded(expression: str, digits: int) -> str:
     """Round half up on the shortest decimal of a double, as Spark does."""
@@ -429,6 +431,8 @@ ORACLES = {
         is_emergency = 1 AS is_emergency, green, yellow, red FROM decided""",
     "decide_summary": f"""WITH RECURSIVE {DECIDED} SELECT event_id, intersection_id, severity, action, green, red,
         substring(decision, 1, 70) AS decision FROM decided""",
+    "stream_decisions": f"""WITH RECURSIVE {DECIDED} SELECT event_id, intersection_id, severity, action, green, red,
+        substring(decision, 1, 70) AS decision FROM decided""",
     "decide_messages": f"""WITH RECURSIVE {DECIDED} SELECT d.event_id, {_MESSAGES}""",
     "decide_nested_json": f"""WITH RECURSIVE {DECIDED} SELECT d.event_id, 0 AS part, severity,
         severity_label AS spark_predicted_sev, action AS recommended_action, action, protocol,
@@ -445,8 +449,31 @@ ORACLES = {
         THEN {pick(["de", "en", "es", "fr"], draw("doc_id", 3))} ELSE lang END AS severity FROM documents""",
     "ml_logreg_score": _NAMED_TEST,
     "ml_svm_score": _NAMED_TEST,
-    "ml_metrics": """SELECT * FROM (VALUES ('logreg', 'clean', true, true), ('svm', 'clean', true, true),
-        ('logreg', 'null_20pct', true, false), ('logreg', 'noisy_labels_10pct', true, true)) AS t(classifier, condition, good, timed)""",
+    "ml_metrics": f"""WITH test AS (SELECT lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND {draw("doc_id", 42)} >= 0.8),
+        classes AS (SELECT lang, count(*) AS n FROM test GROUP BY lang),
+        sizes AS (SELECT cast(sum(n) AS bigint) AS test_rows, {rounded("cast(max(n) AS double) / sum(n)", 4)} AS majority_share FROM classes)
+        SELECT classifier, condition, test_rows, majority_share, true AS learned, true AS agrees, timed
+        FROM sizes, (VALUES ('logreg', 'clean', true), ('svm', 'clean', true), ('logreg', 'null_20pct', false),
+            ('logreg', 'noisy_labels_10pct', true)) AS runs(classifier, condition, timed)""",
+    "ml_intervals": f"""WITH {CORPUS},
+        guesses AS (SELECT cast(doc_id AS varchar) AS key, severity AS a, cast(doc_id % 3 % 2 AS varchar) AS g FROM corpus),
+        drawn AS (SELECT r, a, g, cast(('0x' || substr(md5((r // {ml.DRAWS_PER_DIGEST} + {ml.BOOTSTRAP_SEED}) || ':' || key),
+                      8 * (r % {ml.DRAWS_PER_DIGEST}) + 1, 8)) AS bigint) / cast(4294967296 AS double) AS u
+                  FROM guesses, range({ml.REPLICATES}) AS replicates(r)),
+        weighted AS (SELECT r, a, g, {" + ".join(f"cast(u >= {step!r}::double AS integer)" for step in ml.poisson_steps())} AS w FROM drawn
+                     UNION ALL SELECT -1, a, g, 1 FROM guesses),
+        cells AS (SELECT r, a, g, cast(sum(w) AS double) AS n FROM weighted WHERE w > 0 GROUP BY r, a, g),
+        sides AS (SELECT r, a AS c, n AS actual, 0 AS guessed, CASE WHEN a = g THEN n ELSE 0 END AS hits FROM cells
+                  UNION ALL SELECT r, g, 0, n, 0 FROM cells),
+        by_class AS (SELECT r, c, sum(actual) AS actual, sum(guessed) AS guessed, sum(hits) AS hits FROM sides GROUP BY r, c),
+        scores AS (SELECT r, sum(hits) / sum(actual) AS accuracy, sum(2 * hits / (actual + guessed) * actual) / sum(actual) AS f1
+                   FROM by_class GROUP BY r)
+        SELECT {", ".join(
+            f"{rounded(f'max({name}) FILTER (r = -1)', 4)} AS {name}, "
+            f"{rounded(f'quantile_cont({name}, 0.025) FILTER (r >= 0)', 4)} AS {name}_low, "
+            f"{rounded(f'quantile_cont({name}, 0.975) FILTER (r >= 0)', 4)} AS {name}_high"
+            for name in ("accuracy", "f1"))}
+        FROM scores""",
     "ml_score_features": f"WITH {SCORES} SELECT {_HANDED_ON}, true AS has_known_severity FROM scores",
     "ml_confusion_metrics": f"""WITH {CORPUS},
         pairs AS (SELECT severity AS a, cast(doc_id % 3 % 2 AS varchar) AS g FROM corpus),
