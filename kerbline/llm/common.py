@@ -157,9 +157,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: s
 
 
 def _split_join(rows: DataFrame, dim: DataFrame, keys: list[str], hot: list) -> DataFrame:
+    """The join in two parts, told apart by the hash of the key: a key that shares its hash with a hot one counts as hot."""
     if not hot:
         return rows.join(dim, keys)
     schema = T.StructType([rows.schema[key] for key in keys])
-    known = F.broadcast(rows.sparkSession.createDataFrame(hot, schema))
-    by_broadcast = rows.join(F.broadcast(dim.join(known, keys, "left_semi")), keys)
-    return by_broadcast.unionByName(rows.join(known, keys, "left_anti").join(dim, keys))
+    known = rows.sparkSession.createDataFrame(hot, schema).select(F.xxhash64(*keys).alias("hash"))
+    is_hot = F.xxhash64(*keys).isin([row.hash for row in known.collect()])
+    by_broadcast = rows.where(is_hot).join(F.broadcast(dim.where(is_hot)), keys)
+    return by_broadcast.unionByName(rows.where(~is_hot).join(dim.where(~is_hot), keys))
