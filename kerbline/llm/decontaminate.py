@@ -7,10 +7,14 @@ A hit is verified with Myers' bit-parallel edit distance, from small to large: a
 pieces that covers ``j`` of them may have ``j - 1`` errors (if a node is within its budget, one of its halves is), so most
 chance hits end at the first pair of pieces; the root is the whole item within its whole budget.
 
-Documents are read whole, in place, without a shuffle. Test items are the stated query set: they go to the tasks in
-blocks of about ``BLOCK_CHARS`` characters, each with one automaton of bounded size, and documents pass through
-all blocks. Null and empty texts hold no passage. Items shorter than ``MIN_CHARS`` after normalisation are no
-evidence of a leak and match nothing; repeated items are reported under each of their ids.
+Documents are read whole, in place, without a shuffle. Test items are the stated query set: they are stored once and go
+to the tasks in blocks of about ``BLOCK_CHARS`` characters, each with one automaton of bounded size. Documents pass through
+``BLOCKS_AT_ONCE`` blocks at a time, so the driver and the tasks never hold more of the items than that; if there are
+more, the documents are stored in between.
+
+Null and empty texts hold no passage, and null and empty items are in no text. Items shorter than ``MIN_CHARS`` after
+normalisation are searched verbatim and have to begin and end at a word's border, since few edits make another word of
+them. Repeated items are reported under each of their ids, items without an id under a null id. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -23,23 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from kerbline.llm.common import map_arrow
+from kerbline.llm.common import map_arrow, stored
 
 ERROR_RATE = 0.1
 MIN_CHARS = 20
 BLOCK_CHARS = 500_000
+BLOCKS_AT_ONCE = 8
 
-LEAKS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("item_id", T.LongType()),
-            T.StructField("distance", T.IntegerType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-        ]
-    )
-)
+
+def leaks_type(id_type: T.DataType) -> T.ArrayType:
+    names = ["distance", "start", "end"]
+    return T.ArrayType(T.StructType([T.StructField("item_id", id_type), *(T.StructField(name, T.IntegerType()) for name in names)]))
 
 
 def normalised(text: str | None) -> str:
@@ -89,9 +89,10 @@ class Node:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: object
     text: str
     budget: int
+    verbatim: bool = False
     bounds: list[int] = field(init=False)
     nodes: dict[tuple[int, int], Node] = field(init=False, default_factory=dict)
 
@@ -121,6 +122,8 @@ class Item:
     def verify(self, text: str, at: int, piece: int) -> tuple[int, int, int] | None:
         """``distance, start, end`` of the item near the hit of ``piece`` at ``at``; None beyond the budget."""
         start, end, distance = at, at + self.bounds[piece + 1] - self.bounds[piece], 0
+        if self.verbatim and (text[start - 1 : start].isalnum() or text[end : end + 1].isalnum()):
+            return None
         for first, last in self.path(piece):
             node = self.node(first, last)
             low = max(0, at - (self.bounds[piece] - node.start) - node.budget)
@@ -140,12 +143,14 @@ class Item:
 class Matcher:
     """One automaton over the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
-        owners: dict[str, list[tuple[Item, int]]] = defaultdict(list)
-        for item_id, text in items:
-            item = Item(item_id, text, int(len(text) * error_rate))
-            for number, piece in enumerate(item.pieces()):
-                owners[piece].append((item, number))
+    def __init__(self, items: list[tuple[object, str]], error_rate: float) -> None:
+        self.items = []
+        owners: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for place, (item_id, text) in enumerate(items):
+            short = len(text) < MIN_CHARS
+            self.items.append(Item(item_id, text, 0 if short else int(len(text) * error_rate), short))
+            for number, piece in enumerate(self.items[-1].pieces()):
+                owners[piece].append((place, number))
         self.automaton = ahocorasick.Automaton()
         for piece, found in owners.items():
             self.automaton.add_word(piece, (len(piece), found))
@@ -153,31 +158,30 @@ class Matcher:
         if owners:
             self.automaton.make_automaton()
 
-    def leaks(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """``item_id, distance, start, end`` of the first verified passage of each item, by item."""
+    def leaks(self, text: str | None) -> list[tuple[object, int, int, int]]:
+        """``item_id, distance, start, end`` of the first verified passage of each item."""
         text = normalised(text)
         if self.empty or not text:
             return []
-        found: dict[int, tuple[int, int, int, int]] = {}
+        found: dict[int, tuple[object, int, int, int]] = {}
         for last, (size, owners) in self.automaton.iter(text):
             at = last - size + 1
-            for item, number in owners:
-                if item.item_id not in found and (match := item.verify(text, at, number)):
-                    found[item.item_id] = (item.item_id, *match)
-        return [found[item_id] for item_id in sorted(found)]
+            for place, number in owners:
+                if place not in found and (match := self.items[place].verify(text, at, number)):
+                    found[place] = (self.items[place].item_id, *match)
+        return [found[place] for place in sorted(found)]
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple[int, str]]]:
-    """The test items in blocks; each is collected by itself and is of bounded size."""
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+def item_blocks(items: DataFrame, block_chars: int) -> list[DataFrame]:
+    """The items (``id, text``, stored) in blocks of bounded size; none of them is read here."""
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-total // block_chars))
-    blocks = []
-    for number in range(count):
-        block = rows.where(F.pmod(F.xxhash64("id"), F.lit(count)) == number)
-        texts = [(row.id, normalised(row.text)) for row in block.toLocalIterator()]
-        blocks.append(sorted({pair for pair in texts if len(pair[1]) >= MIN_CHARS}))
-    return blocks
+    return [items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == number) for number in range(count)]
+
+
+def read_block(block: DataFrame) -> list[tuple[object, str]]:
+    texts = dict.fromkeys((row.id, normalised(row.text)) for row in block.toLocalIterator())
+    return sorted((pair for pair in texts if pair[1]), key=lambda pair: (pair[0] is not None, pair))
 
 
 def mark_leaks(
@@ -198,32 +202,30 @@ def mark_leaks(
     keep = [name for name in (docs.columns if keep is None else keep) if name != leaks_col]
     context = docs.sparkSession.sparkContext
     columns = list(dict.fromkeys([*keep, text_col]))
+    rows = items.select(F.col(item_id_col).alias("id"), F.col(item_text_col).alias("text"))
+    blocks = item_blocks(stored(rows, "test-items"), block_chars)
+    kind = leaks_type(items.schema[item_id_col].dataType)
+    arrow_kind, names = to_arrow_type(kind), kind.elementType.names
     marked, parts = docs.select(*columns), []
-    for number, block in enumerate(item_blocks(items, item_id_col, item_text_col, block_chars)):
-        shared = context.broadcast(block)
+    for number, block in enumerate(blocks):
+        if number and number % BLOCKS_AT_ONCE == 0:
+            marked = stored(marked, "partly-marked")
+        shared = context.broadcast(read_block(block))
 
         def work(shared=shared):
             matcher = Matcher(shared.value, error_rate)
 
             def compute(texts: pa.Array) -> list[pa.Array]:
-                rows = [
-                    [dict(zip(LEAKS.elementType.names, leak, strict=True)) for leak in matcher.leaks(text)]
-                    for text in texts.to_pylist()
-                ]
-                return [pa.array(rows, LEAKS_ARROW)]
+                found = [[dict(zip(names, leak, strict=True)) for leak in matcher.leaks(text.as_py())] for text in texts]
+                return [pa.array(found, arrow_kind)]
 
             return compute
 
         parts.append(f"__leaks_{number}")
-        marked = map_arrow(marked, [text_col], [*columns, *parts[:-1]], [T.StructField(parts[-1], LEAKS)], work)
+        marked = map_arrow(marked, [text_col], [*columns, *parts[:-1]], [T.StructField(parts[-1], kind)], work)
     return marked.select(*keep, F.array_sort(F.concat(*parts)).alias(leaks_col))
 
 
-LEAKS_ARROW = pa.list_(
-    pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-)
-
-
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no test item, with all their columns."""
     return mark_leaks(docs, items, text_col, "__leaks").where(F.size("__leaks") == 0).drop("__leaks")

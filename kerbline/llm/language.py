@@ -10,8 +10,8 @@ Word and n-gram counts cover all training documents, combined per batch and befo
 score. A model of at most ``WORDS`` words and ``GRAMS`` n-grams of each length per language is held by the tasks, which
 then score texts whole, in place. Of a larger one they hold the ``WORDS`` most frequent words of each language, with their
 counts in all languages; the other words of a text are counted, scored once per distinct word by joins with the
-stored counts, and their scores added to the text's. The result does not depend on what is held. Texts that are null or
-have no letter get ``und`` and score 0; without training rows every text does.
+stored counts, and their scores added to the text's. The result does not depend on what is held. Letters are those that
+Unicode classes as such: other numbers (½, Ⅷ, ①) are not. Texts that are null or have no letter get ``und`` and score 0; without training rows every text does.
 """
 
 from __future__ import annotations
@@ -39,11 +39,16 @@ UNKNOWN = "und"
 #: Tokens a worker remembers beyond the model's words.
 MEMO_ENTRIES = 300_000
 
+#: Letters, and the numbers that are neither digits nor letters.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+    """The runs of letters of a text."""
+    found = LETTERS.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [word for run in found for word in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams_of(word: str, size: int) -> list[str]:
@@ -63,7 +68,7 @@ def count_words(batches):
         counts: Counter = Counter()
         for lang, seen in tokens.items():
             for token, n in seen.items():
-                for word in LETTERS.findall(token):
+                for word in words_of(token):
                     counts[lang, word] += n
         langs, words = zip(*counts, strict=True) if counts else ((), ())
         columns = [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())]
@@ -170,9 +175,17 @@ def log_table(counts: dict[str, dict[str, int]], langs: list[str], totals: dict[
     return index, table
 
 
-def most_frequent(counts: DataFrame, group: list[str], limit: int) -> DataFrame:
-    order = Window.partitionBy(*group).orderBy(F.col("n").desc(), "item")
-    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` rows of each language, those above the count at which more would be too many.
+
+    The counts are decided by how many items have each, so that no task ranks the items of a language; items that tie
+    at the limit are left out together.
+    """
+    kinds = counts.groupBy("lang", "n").agg(F.count("*").alias("kinds"))
+    above = Window.partitionBy("lang").orderBy(F.col("n").desc())
+    least = kinds.withColumn("held", F.sum("kinds").over(above)).where(F.col("held") <= limit).groupBy("lang").agg(F.min("n").alias("least"))
+    # One row per language.
+    return counts.join(F.broadcast(least), "lang").where("n >= least").drop("least")
 
 
 def fit(
@@ -196,7 +209,7 @@ def fit(
     # At most ``words`` + 5 * ``grams`` items per language, each with its counts in all languages.
     held = every
     if not whole:
-        top = stored(most_frequent(word_rows, ["lang"], words).select("item").distinct(), "language-held")
+        top = stored(most_frequent(word_rows, words).select("item").distinct(), "language-held")
         held = word_rows.join(F.broadcast(top), "item", "left_semi").select(*every.columns)
     tables: dict[int, dict[str, dict[str, int]]] = {size: {} for size in (0, *GRAM_SIZES)}
     for row in held.toLocalIterator():
@@ -238,7 +251,7 @@ class Scorer:
         self.size += 1
 
     def add(self, token: str) -> int:
-        words = LETTERS.findall(token)
+        words = words_of(token)
         if not words:
             return self.silent
         if len(words) == 1 and words[0] in self.model.words:

@@ -7,8 +7,8 @@ those it is confident of (``CONFIDENT``) join the training rows of the other vie
 view is calibrated on labelled rows that it did not train on, and the views are combined as independent evidence: the
 sum of their calibrated log-odds less the log-odds of the prior.
 
-Fitting uses at most ``TRAIN_ROWS`` labelled and ``POOL_ROWS`` unlabelled documents (those with the smallest hash of
-their id). Rows of fold ``HELD_OUT_FOLD`` are never learned from, those of ``CALIBRATION_FOLD`` only calibrate. All
+Fitting uses at most ``TRAIN_ROWS`` labelled documents (those with the smallest hash of their id); the pool is all
+unlabelled documents, so that what the views teach each other grows with the corpus. Rows of fold ``HELD_OUT_FOLD`` are never learned from, those of ``CALIBRATION_FOLD`` only calibrate. All
 documents are scored by whole texts, in place. Null texts count as empty, missing metadata as a value of its
 own. Without training rows of both labels the score is the share of label 1 among them (0 if there are none).
 """
@@ -29,15 +29,15 @@ from pyspark.sql import types as T
 from kerbline.llm.common import fold, map_arrow, stored
 
 TRAIN_ROWS = 20_000
-POOL_ROWS = 20_000
 ROUNDS = 3
 #: A view passes on a label when its score is at least this far to one side.
 CONFIDENT = 0.95
 PSEUDO_WEIGHT = 0.5
 FOLDS, HELD_OUT_FOLD, CALIBRATION_FOLD = 5, 0, 1
-HASHED = 1 << 12
-#: Every iteration of a fit is a job over its bounded rows; few tasks keep it from being all scheduling.
-FIT_TASKS = 6
+#: Slots of the metadata view, most of which hosts take.
+HASHED = 1 << 16
+#: Every iteration of a fit is a job over its rows; few tasks keep a small fit from being all scheduling.
+FIT_TASKS, FIT_ROWS = 6, 50_000
 RIDGE = 1e-3
 THRESHOLD = 0.5
 
@@ -133,6 +133,11 @@ class Model:
     prior: float
 
 
+def in_few_tasks(rows: DataFrame) -> DataFrame:
+    """``rows`` in tasks of about ``FIT_ROWS``; only small inputs end up in few."""
+    return rows.coalesce(max(FIT_TASKS, -(-rows.count() // FIT_ROWS)))
+
+
 def train(rows: DataFrame, vector: str) -> LogisticRegressionModel:
     return LogisticRegression(
         featuresCol=vector,
@@ -143,7 +148,7 @@ def train(rows: DataFrame, vector: str) -> LogisticRegressionModel:
         predictionCol=f"{vector}_label",
         regParam=RIDGE,
         maxIter=25,
-    ).fit(rows.coalesce(FIT_TASKS))
+    ).fit(in_few_tasks(rows))
 
 
 def both_labels(rows: DataFrame) -> bool:
@@ -164,7 +169,7 @@ def calibrate(rows: DataFrame, classifier: LogisticRegressionModel, vector: str)
     if not both_labels(scored):
         return Calibrated(classifier, 1.0, 0.0)
     scored = VectorAssembler(inputCols=["odd"], outputCol="features").transform(scored.withColumn("odd", F.get("odds", 0)))
-    line = LogisticRegression(labelCol="label", weightCol="weight", regParam=RIDGE, maxIter=25).fit(scored.coalesce(FIT_TASKS))
+    line = LogisticRegression(labelCol="label", weightCol="weight", regParam=RIDGE, maxIter=25).fit(in_few_tasks(scored))
     return Calibrated(classifier, max(0.0, float(line.coefficients[0])), float(line.intercept))
 
 
@@ -178,11 +183,8 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     chosen = stored(chosen.select("id", "text_raw", "meta", "label", F.lit(1.0).alias("weight")), "quality-rows")
     # Labelled ids are no part of the pool; held-out rows are neither.
     every = labels.select(F.col(id_col).alias("known_id")).where("known_id is not null").distinct()
-    candidates = rows.where(fold(F.col("id"), FOLDS) != HELD_OUT_FOLD).select("id")
-    pool_ids = candidates.join(every, candidates["id"] == every["known_id"], "left_anti")
-    pool_ids = stored(pool_ids.orderBy(F.xxhash64("id"), "id").limit(POOL_ROWS).toDF("pool_id"), "quality-pool-ids")
-    pool = rows.join(F.broadcast(pool_ids), rows["id"] == pool_ids["pool_id"])
-    pool = stored(pool.select("id", "text_raw", "meta"), "quality-pool")
+    pool = rows.where(fold(F.col("id"), FOLDS) != HELD_OUT_FOLD).select("id", "text_raw", "meta")
+    pool = pool.join(every, pool["id"] == every["known_id"], "left_anti")
 
     training = chosen.where(fold(F.col("id"), FOLDS) != CALIBRATION_FOLD)
     calibration = chosen.where(fold(F.col("id"), FOLDS) == CALIBRATION_FOLD)

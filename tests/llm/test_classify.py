@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -132,6 +133,43 @@ def test_quality_of_odd_rows(spark):
     assert sum(right) >= 0.95 * len(right)
 
 
+def test_quality_scores_equal_a_plain_combination(spark):
+    """Both views' calibrated log-odds less the prior's, from the fitted numbers."""
+    docs, labels, hosts = quality_tables(spark, True)
+    rows = quality.stored(quality.views(docs, hosts, "doc_id", "text"), "test-views")
+    model = quality.fit(rows, labels)
+    mean, deviation = (np.array(v) for v in (model.scaler.mean, model.scaler.std))
+    got = {r.id: r.score for r in quality.score(rows, model).collect()}
+
+    def odds(part, vector):
+        raw = float(np.dot(part.classifier.coefficients.toArray(), vector)) + part.classifier.intercept
+        return part.slope * raw + part.offset
+
+    for row in rows.collect():
+        raw = np.array(row.text_raw.toArray())
+        assert raw == pytest.approx(quality.text_features(dict((d.doc_id, d.text) for d in docs.collect())[row.id]))
+        scaled = np.divide(raw - mean, deviation, out=np.zeros_like(raw), where=deviation > 0)
+        total = odds(model.text, scaled) + odds(model.meta, row.meta.toArray()) - np.log(model.prior / (1 - model.prior))
+        assert got[row.id] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-6)
+
+
+def test_the_pool_is_all_unlabelled_rows(spark, monkeypatch):
+    docs, labels, hosts = quality_tables(spark, True)
+    seen, train = [], quality.confident
+
+    def watched(pool, classifier, vector):
+        seen.append(sorted(r.id for r in pool.select("id").collect()))
+        return train(pool, classifier, vector)
+
+    monkeypatch.setattr(quality, "confident", watched)
+    rows = quality.stored(quality.views(docs, hosts, "doc_id", "text"), "test-views")
+    quality.fit(rows, labels)
+    known = {r.doc_id for r in labels.collect()}
+    ids = [r.doc_id for r in docs.collect()]
+    expected = sorted(i for i in ids if i is not None and i not in known and zlib.crc32(str(i).encode()) % quality.FOLDS != quality.HELD_OUT_FOLD)
+    assert len(seen) == 2 * quality.ROUNDS and all(pool == expected for pool in seen)
+
+
 def test_quality_without_labels_or_documents(spark):
     docs, labels, hosts = quality_tables(spark, False)
     assert {r.score for r in quality.quality_scores(docs, labels, hosts).collect()} == {0.0}

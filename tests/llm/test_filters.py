@@ -1,6 +1,9 @@
 """Toxicity, URL filter and decontamination against plain versions and held-out rows."""
 
+import math
 import random
+import re
+import zlib
 
 import duckdb
 import pytest
@@ -112,7 +115,7 @@ def leak_rows():
     def words(n):
         return " ".join("".join(rng.choices("abcde", k=rng.randint(2, 5))) for _ in range(n))
 
-    items = [(i, words(rng.randint(8, 20))) for i in range(12)] + [(50, None), (51, ""), (52, "too short"), (None, words(9))]
+    items = [(i, words(rng.randint(8, 20))) for i in range(12)] + [(50, None), (51, ""), (52, "Too Short?"), (None, words(9)), (None, "2+2? Four")]
     items += [(60, items[0][1]), (0, items[0][1])]
     docs = []
     for i, text in items[:12]:
@@ -120,34 +123,43 @@ def leak_rows():
             docs.append(f"{words(10)} {edited(rng, text, edits)}\n {words(10)}")
         docs.append(text[: len(text) // 2] + words(20))
         docs.append(text.upper().replace(" ", "\n\t "))
-    docs += [None, "", " ", words(3000), docs[0]]
+    docs += [None, "", " ", words(3000), docs[0], items[15][1] + " end", "What is 2+2? Four", "22+2? four", "so 2+2? \nfour.", "it is far too  short? Yes"]
     return items, list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block_chars", [500_000, 200])
-def test_leaks_equal_plain_search(spark, block_chars):
+def plain_leaks(items, text):
+    """Item and distance of each test item in a text: within a tenth of its characters, short ones as whole words."""
+    found, text = [], " ".join((text or "").lower().split())
+    for item_id, item in dict.fromkeys((i, " ".join((t or "").lower().split())) for i, t in items):
+        if item and len(item) < 20:
+            if re.search(rf"(?<![^\W_]){re.escape(item)}(?![^\W_])", text):
+                found.append((item_id, 0))
+        elif item and (distance := distance_to_passage(item, text)) <= len(item) // 10:
+            found.append((item_id, distance))
+    return found
+
+
+@pytest.mark.parametrize("block_chars, at_once, ids", [(500_000, 8, "long"), (200, 2, "string")])
+def test_leaks_equal_plain_search(spark, monkeypatch, block_chars, at_once, ids):
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", at_once)
     items, docs = leak_rows()
-    items_df = spark.createDataFrame(items, "item_id long, text string")
+    items_df = spark.createDataFrame(items, "item_id long, text string").withColumn("item_id", F.col("item_id").cast(ids))
     docs_df = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, leaks string").repartition(3)
     got = decontaminate.mark_leaks(docs_df, items_df, block_chars=block_chars)
     assert got.columns == ["doc_id", "text", "leaks"]
-    found = {r.doc_id: {leak.item_id: leak for leak in r.leaks} for r in got.collect()}
+    found = {r.doc_id: r.leaks for r in got.collect()}
     near = 0
     for doc_id, text in docs:
-        text = decontaminate.normalised(text)
-        expected = {}
-        for item_id, item in items:
-            item = decontaminate.normalised(item)
-            if item_id is not None and len(item) >= decontaminate.MIN_CHARS:
-                distance = distance_to_passage(item, text)
-                if distance <= int(len(item) * decontaminate.ERROR_RATE):
-                    expected[item_id] = distance
-                    near += distance > 0
-        assert set(found[doc_id]) == set(expected)
-        for item_id, leak in found[doc_id].items():
-            assert expected[item_id] <= leak.distance
-            item = decontaminate.normalised(dict(items)[item_id])
-            assert distance_to_passage(item, text[leak.start : leak.end]) == leak.distance
+        expected = plain_leaks([(i if i is None or ids == "long" else str(i), t) for i, t in items], text)
+        assert sorted(map(str, (leak.item_id for leak in found[doc_id]))) == sorted(str(i) for i, _ in expected)
+        least = dict(expected)
+        for leak in found[doc_id]:
+            if leak.item_id is not None:
+                near += leak.distance > 0
+                assert leak.distance >= least[leak.item_id]
+                item = " ".join(dict((str(i), t) for i, t in items)[str(leak.item_id)].lower().split())
+                passage = " ".join((text or "").lower().split())[leak.start : leak.end]
+                assert distance_to_passage(item, passage) == leak.distance
     assert near > 20
     kept = decontaminate.drop_leaks(docs_df, items_df)
     assert kept.columns == docs_df.columns
@@ -241,3 +253,77 @@ def test_scores_do_not_depend_on_partitions(toxic_tables):
     second = toxicity.fit(docs.coalesce(1), labels)
     assert first.weights.keys() == second.weights.keys()
     assert max(abs(first.weights[k] - second.weights[k]) for k in first.weights) < 1e-9
+
+
+def plain_fit(docs, labels, shards):
+    """The whole fit on the driver: the same features, shards, rounds and steps, in plain Python."""
+    texts = {}
+    for doc_id, text, _ in docs:
+        texts.setdefault(doc_id, []).append(text)
+    rows = [(i, label, sorted(toxicity.words_of(t))) for i, label in labels if i is not None and label is not None for t in texts.get(i, [])]
+    rows = [row for row in rows if zlib.crc32(str(row[0]).encode()) % 5]
+    total, ones = len(rows), sum(label for _, label, _ in rows)
+    counts = {}
+    for _, label, words in rows:
+        for word in words:
+            for feature in toxicity.features_of(word):
+                seen = counts.setdefault(feature, [0, 0])
+                seen[0] += label
+                seen[1] += 1
+    rate = ones / total
+    names = sorted(f for f, (_, n) in counts.items() if n >= 3)
+    assert len(names) <= toxicity.FEATURES
+    place = {name: i for i, name in enumerate(names)}
+    swaps = toxicity.swaps_of(toxicity.IDENTITY_GROUPS)
+
+    def numbers(words):
+        return sorted({place[f] for w in words for f in toxicity.features_of(w) if f in place})
+
+    weights = [0.0] * len(names) + [math.log(ones / (total - ones))]
+    bias = len(names)
+    for _ in range(toxicity.ROUNDS):
+        made = []
+        for shard in range(toxicity.SHARDS):
+            own = sorted((row for row in rows if shards[row[0]] == shard), key=lambda row: row[:2])
+            if not own:
+                continue
+            w, squares = list(weights), [1e-2] * len(weights)
+            for _ in range(toxicity.EPOCHS):
+                for _, label, words in own:
+                    at = [*numbers(words), bias]
+                    slope = 1 / (1 + math.exp(-sum(w[i] for i in at))) - label
+                    for i in at:
+                        step = slope + toxicity.RIDGE * w[i]
+                        squares[i] += step * step
+                        w[i] -= toxicity.RATE * step / math.sqrt(squares[i])
+                    if any(word in swaps for word in words):
+                        other = [*numbers({swaps.get(word, word) for word in words}), bias]
+                        gone, come = set(at) - set(other), set(other) - set(at)
+                        change = sum(w[i] for i in at) - sum(w[i] for i in other)
+                        factor = min(2 * toxicity.SWAP_PENALTY, 1 / max(1, len(gone) + len(come))) * change
+                        for i in gone:
+                            w[i] -= factor
+                        for i in come:
+                            w[i] += factor
+            made.append((len(own), w))
+        weights = [sum(n * w[i] for n, w in made) / total for i in range(len(weights))]
+    assert rate
+    return dict(zip(names, weights[:-1], strict=True)), weights[-1]
+
+
+def test_fit_and_score_equal_a_plain_version(spark):
+    docs, labels = labelled(random.Random(4), 150)
+    docs += [(2000, None, "x"), (0, docs[1][1], "x")]
+    labels += [(3, None), (None, 1), (2000, 0)]
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    labels_df = spark.createDataFrame(labels, "doc_id long, toxic int")
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.SHARDS)).alias("shard")
+    shards = {r.doc_id: r.shard for r in labels_df.select("doc_id", shard).collect()}
+    weights, intercept = plain_fit(docs, labels, shards)
+    model = toxicity.fit(docs_df, labels_df)
+    assert model.weights.keys() == weights.keys()
+    assert max(abs(model.weights[k] - weights[k]) for k in weights) < 1e-6 and abs(model.intercept - intercept) < 1e-6
+    for row in toxicity.add_score(docs_df, model, score_col="found").collect():
+        present = {f for word in toxicity.words_of(row.text) for f in toxicity.features_of(word)}
+        logit = intercept + sum(weights.get(f, 0.0) for f in present)
+        assert abs(row.found - 1 / (1 + math.exp(-logit))) < 1e-6

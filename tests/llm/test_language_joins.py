@@ -29,3 +29,13 @@ def test_words_held_for_one_language_have_their_counts_in_all(spark):
     model = language.fit(spark.createDataFrame(rows, "text string, lang string"), words=2, grams=2)
     logs = model.word_logs[model.words["ja"]]
     assert logs[model.langs.index("en")] == pytest.approx(language.np.log(1.5) - language.np.log(8 + 3 * language.SMOOTHING))
+
+
+@pytest.mark.parametrize("held", [1, 10**9])
+def test_numbers_that_are_no_digits_are_no_letters(spark, held):
+    rows = spark.createDataFrame([("la maison ½ bleue", "fr"), ("the house Ⅷ", "en")], "text string, lang string")
+    texts = ["½ ²", "Ⅷ", "①", "Ⅷmaison½", "maison", "42 !!", "٣"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.add_language(docs, language.fit(rows, words=held, grams=held)).collect()}
+    assert sorted(i for i, found in got.items() if found == ("und", 0.0)) == [0, 1, 2, 5, 6]
+    assert got[3] == got[4] and got[3][0] == "fr"
