@@ -18,7 +18,8 @@ from kerbline.session import pin, store
 MAX_INLINE_QUERIES = 1_000
 MAX_INLINE_BYTES = 1024 * 1024
 MAX_INLINE_WORDS = 256  # beyond, one search per word and document costs more than tokenizing
-MAX_WORDS_PER_TOKEN = 4_096  # beyond, one search per word and token costs more than cutting tokens up
+MAX_WORDS_PER_TOKEN = 256  # beyond, one search per word and token costs more than the index of their pieces
+GRAM = 3  # characters of the pieces by which words and tokens meet
 CHUNK = 256
 TOKENS_PER_TASK = 200_000
 COMMON_SHARE = 20  # a word is common when more than one in this many documents has it
@@ -167,25 +168,45 @@ def _words_in_tokens(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
             F.lit(json.dumps([r["word"] for r in words.collect()])), F.lit("array<string>")
         )
         return spread.select("token", F.filter(listed, lambda w: F.contains(F.col("token"), w)).alias("held"))
-    # Every piece of a token that is as long as some word is compared with the words by equality.
-    # Tokens are cut into overlapping chunks first, so that a very long one is not copied per piece.
-    sizes = words.agg(F.collect_set(F.length("word")).alias("sizes")).first()["sizes"]
-    longest = max(sizes, default=1)
+    return numbered.join(_held_by_grams(spread, words, small), "_token").select("token", "held")
+
+
+def _grams(text: str, size: Column, last: Column) -> Column:
+    """The pieces of ``size`` characters that begin at the first ``last`` characters of a text, with their places."""
+    starts = F.sequence(F.lit(1), F.least(F.length(text) - size + 1, last))
+    return F.transform(starts, lambda at: F.struct(at.alias("at"), F.substring(text, at, size).alias("gram")))
+
+
+def _held_by_grams(tokens: DataFrame, words: DataFrame, small: bool) -> DataFrame:
+    """``_token`` and the words it holds, by a positional index of pieces of ``GRAM`` characters.
+
+    Each word is listed under one of its pieces, the one that fewest tokens hold, with its offset. A token meets a word
+    where it holds that piece, and holds the word if the characters around the piece are the word's. So what is compared
+    grows with the tokens' pieces and the hits, not with the lengths of the words. Words shorter than ``GRAM`` are their
+    own piece. Tokens are cut into overlapping chunks first, so that a very long one is not copied per piece.
+    """
+    words = words.withColumn("_size", F.least(F.length("word"), F.lit(GRAM)))
+    seen = words.agg(F.collect_set("_size").alias("sizes"), F.max(F.length("word")).alias("longest")).first()
+    sizes, longest = sorted(seen["sizes"]), seen["longest"] or 1
     chunks = F.transform(
         F.sequence(F.lit(1), F.length("token"), F.lit(CHUNK)),
         lambda start: F.substring("token", start, F.lit(CHUNK + longest - 1)),
     )
-    cut = spread.select("_token", F.explode(chunks).alias("chunk"))
-    starts = F.explode(F.sequence(F.lit(1), F.length("chunk")))
-    tails = cut.select("_token", "chunk", starts.alias("start")).select(
-        "_token", F.substring("chunk", F.col("start"), F.lit(longest)).alias("tail")
-    )
-    usable = F.filter(
-        F.from_json(F.lit(json.dumps(sorted(sizes))), F.lit("array<int>")), lambda n: n <= F.length("tail")
-    )
-    pieces = tails.select("_token", "tail", F.explode(usable).alias("size")).select(
-        "_token", F.substring("tail", F.lit(1), F.col("size")).alias("word")
-    )
-    known = lookup(pieces, words.withColumn("_known", F.lit(True)), ["word"], small=small).where(F.col("_known"))
-    held = known.groupBy("_token").agg(F.collect_set("word").alias("held"))
-    return numbered.join(held, "_token").select("token", "held")
+    cut = tokens.select("_token", F.explode(chunks).alias("chunk"))
+    # A word that begins in a chunk's own characters has its piece at most as far again behind them.
+    reach = F.lit(2 * CHUNK)
+    cut = cut.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")))
+    cut = cut.where(F.length("chunk") >= F.col("_size"))
+    pieces = cut.select("_token", "chunk", "_size", F.inline(_grams("chunk", F.col("_size"), reach)))
+    counts = store(pieces.groupBy("_size", "gram").agg(F.count(F.lit(1)).alias("_rows")), "gram-counts")
+    listed = words.select("word", "_size", F.inline(_grams("word", F.col("_size"), F.lit(CHUNK))))
+    listed = listed.join(counts, ["_size", "gram"])
+    rarest = listed.groupBy("word").agg(F.min(F.struct("_rows", "at", "gram")).alias("best"), F.count(F.lit(1)).alias("_known"))
+    # A word of which some piece is in no token is in no token itself.
+    pieces_of_word = F.least(F.length("word"), F.lit(CHUNK + GRAM - 1)) - F.least(F.length("word"), F.lit(GRAM)) + 1
+    rarest = rarest.where(F.col("_known") == pieces_of_word)
+    anchors = rarest.select("word", F.col("best.gram").alias("gram"), (F.col("best.at") - 1).alias("offset"))
+    met = spread_join(pieces.select("_token", "chunk", "at", "gram"), store(anchors, "anchors"), "gram", "_token")
+    begins = F.col("at") - F.col("offset")
+    met = met.where((begins >= 1) & (F.substring("chunk", begins, F.length("word")) == F.col("word")))
+    return met.groupBy("_token").agg(F.collect_set("word").alias("held"))
