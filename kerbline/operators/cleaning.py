@@ -116,3 +116,39 @@ def quality_stats(raw: DataFrame) -> DataFrame:
         dropped.alias("dropped"),
         F.round(dropped.cast("double") / F.greatest("total_raw", F.lit(1)) * 100, 1).alias("drop_rate_pct"),
     )
+
+
+RULES = ["raw", "keyless", "out_of_range", "duplicate", "out_of_domain", "clean"]
+
+
+def rule_counts(raw: DataFrame) -> DataFrame:
+    """``rule, rows``: the rows read, those that each cleaning rule drops, and those that remain; they add up.
+
+    One pass and one shuffle, as in ``quality_stats``: what a rule drops before de-duplication is counted per id next to
+    the surviving row, and both sides are combined map-side.
+    """
+    prepared = raw.transform(fill_defaults).transform(cast_or_default).transform(with_event_time)
+    keyed = F.coalesce(*[F.col(c).cast("string") for c in KEY_COLUMNS]).isNotNull()
+    keep = F.when(keyed & in_range(), _survivor(prepared.columns))
+    per_id = prepared.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~keyed).alias("keyless"),
+        F.count_if(keyed & ~F.coalesce(in_range(), F.lit(False))).alias("beyond"),
+        F.min(keep).alias("kept"),
+    )
+    survives = F.col("kept").isNotNull()
+    known = F.coalesce(in_domain("kept."), F.lit(False))
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0))
+
+    repeats = F.col("rows") - F.col("keyless") - F.col("beyond") - survives.cast("int")
+    totals = per_id.agg(
+        total(F.col("rows")).alias("raw"),
+        total(F.col("keyless")).alias("keyless"),
+        total(F.col("beyond")).alias("out_of_range"),
+        total(repeats).alias("duplicate"),
+        F.count_if(survives & ~known).alias("out_of_domain"),
+        F.count_if(survives & known).alias("clean"),
+    )
+    return totals.select(F.inline(F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("rows")) for rule in RULES))))

@@ -15,20 +15,19 @@ from kerbline.sources.writers import gathered, write_clean, write_features
 
 
 def run_etl(input_path: str, output_path: str, spark: SparkSession | None = None, mode: str = "append") -> dict:
-    """Clean raw events into Parquet; counts and elapsed seconds.
+    """Clean raw events into Parquet; counts and elapsed seconds. The input is read once.
 
-    The clean rows are counted while they are written. The counter sits behind the last shuffle:
-    tasks of a write count once even if they run again, those before a shuffle would not.
+    Raw rows are counted behind the scan and clean rows while they are written. Tasks of a write count once even if
+    they run again; tasks of the scan that run again because an executor was lost with their output count again, so
+    after such a loss ``total_raw`` is an upper bound (``cleaning.rule_counts`` counts exactly).
     """
     session = spark or build_session("kerbline-etl")
     started = time.perf_counter()
-    raw = read_events(session, input_path)
-    # Lines are counted without parsing them; every line that is not blank is a record.
-    total_raw = session.read.text(input_path).where(F.trim("value") != "").count()
-    written = Observation("clean")
+    read, written = Observation("raw"), Observation("clean")
+    raw = read_events(session, input_path).observe(read, F.count(F.lit(1)).alias("rows"))
     ready = gathered(clean(raw), "zone", "date").observe(written, F.count(F.lit(1)).alias("rows"))
     write_clean(ready, output_path, mode)
-    total_clean = written.get["rows"]
+    total_raw, total_clean = read.get["rows"], written.get["rows"]
     if spark is None:
         session.stop()
     return {

@@ -313,6 +313,10 @@ _MESSAGES = f"""'[VA] Intersection ' || intersection_id || ' (zone: ' || zone ||
                  || ' (risk=' || format('{{:.1f}}', risk_score) || ')', '|' ORDER BY ord) AS alerts
           FROM scores JOIN edges ON src = intersection_id WHERE risk_score >= 75 GROUP BY event_id) a USING (event_id)"""
 
+# Of the northern folders with an even id only the even ids are left; replacing touches no other folder.
+ROLLED_UP = """(zone <> 'north' OR event_id::bigint % 2 = 0 OR cast(ts AS date) NOT IN
+        (SELECT cast(ts AS date) FROM scores WHERE zone = 'north' AND event_id::bigint % 2 = 0))"""
+
 ORACLES = {
     "etl_drop_all_null_keys": f"""WITH {SRC} SELECT * FROM (
         SELECT CASE WHEN number % 3 <> 0 THEN event_id END AS event_id,
@@ -340,6 +344,21 @@ ORACLES = {
         CASE WHEN number % 7 <> 0 THEN cast(hour(ts) AS integer) END AS hour
         FROM raw""",
     "etl_clean": f"WITH {CLEAN} {_CLEAN_SELECT}",
+    "etl_rule_counts": f"""WITH {CLEAN}
+        SELECT 'raw' AS rule, (SELECT count(*) FROM raw) AS rows
+        UNION ALL SELECT 'keyless', (SELECT count(*) FROM raw WHERE event_id IS NULL AND "timestamp" IS NULL AND intersection_id IS NULL)
+        UNION ALL SELECT 'out_of_range', (SELECT count(*) FROM typed) - (SELECT count(*) FROM ranged)
+        UNION ALL SELECT 'duplicate', (SELECT count(*) FROM ranged) - (SELECT count(*) FROM single)
+        UNION ALL SELECT 'out_of_domain', (SELECT count(*) FROM single) - (SELECT count(*) FROM clean)
+        UNION ALL SELECT 'clean', (SELECT count(*) FROM clean)""",
+    "src_rescued_lines": f"""WITH {SRC}
+        SELECT CASE number % 20 WHEN 4 THEN 'speed_kmh' WHEN 5 THEN 'vehicle_count' ELSE '' END AS fields, count(*) AS lines
+        FROM raw WHERE number % 20 IN (0, 4, 5) GROUP BY fields""",
+    "roll_severity_by_zone": f"""WITH {SCORES} SELECT zone, severity_label, count(*) AS count FROM scores
+        WHERE {ROLLED_UP} GROUP BY zone, severity_label""",
+    "roll_risk_by_zone": f"""WITH {SCORES} SELECT zone, {rounded("avg(risk_score)", 1)} AS avg_risk,
+        {rounded("avg(congestion_score)", 1)} AS avg_congestion, count(*) AS event_count FROM scores
+        WHERE {ROLLED_UP} GROUP BY zone""",
     "etl_quality_stats": f"""WITH {CLEAN},
         totals AS (SELECT (SELECT count(*) FROM raw) AS r, (SELECT count(*) FROM clean) AS c) {_QUALITY}""",
     "feat_congestion_score": _scores("congestion, congestion_score"),

@@ -15,6 +15,7 @@ from kerbline import fixed
 from kerbline.functions import cells
 from kerbline.operators import cleaning, decisions, features, graph, ml, reports, retrieval, validation
 from kerbline.operators.lookup import lookup
+from kerbline.plans import rollup
 from kerbline.plans import sensor_views as views
 from kerbline.plans.stream import raw_stream, run_decision_stream
 from kerbline.session import pin, scratch_path
@@ -538,7 +539,41 @@ def quality_metrics(spark, sf_dir):
     return spark.read.schema(stats.schema).json(path)
 
 
+def etl_rule_counts(spark, sf_dir):
+    return cleaning.rule_counts(views.sensor_raw(spark, sf_dir))
+
+
+def src_rescued_lines(spark, sf_dir):
+    """Lines and fields of the broken JSON texts that could not be read, by field."""
+    path = scratch_path(spark, "broken")
+    views.sensor_json(spark, sf_dir).select("value").write.text(path)
+    rescued = readers.read_events_rescued(spark, path).where("rescued is not null")
+    return rescued.groupBy(F.array_join("rescued_fields", "|").alias("fields")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def _rolled_up(report):
+    """A report from partial sums, kept up to date over three appends of which the last replaces its folders."""
+
+    def query(spark, sf_dir):
+        root = scratch_path(spark, "rollup")
+        clean = views.sensor_clean(spark, sf_dir)
+        third = F.col("event_id").cast("long") % 3
+        for part in range(3):
+            writers.write_clean(clean.where(third == part), f"{root}/clean")
+            rollup.update(spark, f"{root}/clean", f"{root}/sums")
+        north = (F.col("zone") == "north") & (F.col("event_id").cast("long") % 2 == 0)
+        writers.write_clean(clean.where(north), f"{root}/clean", mode="replace")
+        rollup.update(spark, f"{root}/clean", f"{root}/sums")
+        return shown(report(rollup.sums(spark, f"{root}/sums")))
+
+    return query
+
+
 QUERIES = {
+    "etl_rule_counts": etl_rule_counts,
+    "src_rescued_lines": src_rescued_lines,
+    "roll_severity_by_zone": _rolled_up(rollup.severity_by_zone),
+    "roll_risk_by_zone": _rolled_up(rollup.risk_by_zone),
     "etl_drop_all_null_keys": etl_drop_all_null_keys,
     "etl_fill_defaults": etl_fill_defaults,
     "etl_cast_or_default": etl_cast_or_default,

@@ -20,6 +20,23 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(fixed.SENSOR_SCHEMA).json(path).drop("batch")
 
 
+def read_events_rescued(spark: SparkSession, path: str) -> DataFrame:
+    """Sensor events as ``read_events`` gives them, with what could not be read kept beside them.
+
+    ``rescued`` is the whole line where the line or one of its fields could not be read, else null; ``rescued_fields``
+    lists the fields whose value was there but of another type (none for a line that is no JSON object at all).
+    """
+    schema = T.StructType([*fixed.SENSOR_SCHEMA.fields, T.StructField("rescued", T.StringType())])
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "rescued").json(path).drop("batch")
+    parsed = F.try_parse_json("rescued")
+    lost = [
+        F.when(F.col(f.name).isNull() & F.try_variant_get(parsed, f"$.{f.name}", "string").isNotNull(), f.name)
+        for f in fixed.SENSOR_SCHEMA
+    ]
+    fields = F.when(F.col("rescued").isNotNull(), F.array_compact(F.array(*lost)))
+    return rows.withColumn("rescued_fields", fields)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Clean or feature records from partitioned Parquet."""
     return spark.read.parquet(path)

@@ -152,3 +152,33 @@ def test_json_lines_repair_and_job_counts(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
     run_etl(str(tmp_path / "raw"), out, spark, mode="replace")
     assert spark.read.parquet(out).count() == 2
+
+
+def test_rule_counts_add_up(spark):
+    raw = spark.createDataFrame(
+        [
+            ("a", "2024-01-15T08:00:00", "X", 10.0, "low"), ("a", "2024-01-15T09:00:00", "X", 10.0, "low"), ("b", None, None, 500.0, "low"),
+            ("c", None, "X", 10.0, "gridlock"), (None, None, None, 10.0, "low"), (None, None, None, 900.0, "low"), ("a", None, "X", -1.0, "low"),
+        ],
+        "event_id string, timestamp string, intersection_id string, speed_kmh float, congestion string",
+    )
+    full = raw.selectExpr("*", "'north' AS zone", "'car' AS vehicle_type", "3 AS vehicle_count", "'clear' AS weather")
+    got = {r["rule"]: r["rows"] for r in cleaning.rule_counts(full).collect()}
+    assert got == {"raw": 7, "keyless": 2, "out_of_range": 2, "duplicate": 1, "out_of_domain": 1, "clean": 1}
+    assert cleaning.clean(full).count() == got["clean"]
+    assert {r["rows"] for r in cleaning.rule_counts(full.limit(0)).collect()} == {0}
+
+
+def test_unreadable_lines_and_values_are_rescued(spark, tmp_path):
+    from kerbline.sources.readers import read_events, read_events_rescued
+
+    lines = [
+        '{"event_id": "1", "speed_kmh": 3.5, "zone": "north"}', '{"event_id": "2", "speed_kmh": "FAST", "vehicle_count": 3.5, "zone": "x"}',
+        '{"event_id": "3", "spee', "no json", "", '{"event_id": "4", "speed_kmh": null}',
+    ]
+    (tmp_path / "in.json").write_text("\n".join(lines))
+    rows = read_events_rescued(spark, str(tmp_path)).collect()
+    assert len(rows) == 5 == read_events(spark, str(tmp_path)).count()
+    found = {r.rescued: r for r in rows if r.rescued is not None}
+    assert found[lines[1]].rescued_fields == ["speed_kmh", "vehicle_count"] and found[lines[1]].zone == "x"
+    assert found[lines[3]].rescued_fields == [] and set(found) == {lines[1], lines[2], lines[3]}
