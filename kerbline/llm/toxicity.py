@@ -46,7 +46,7 @@ THRESHOLD = 0.5
 HELD_OUT_FOLDS = 5
 HELD_OUT_FOLD = 0
 #: Tokens a task remembers; about 50 MB.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 
 #: Names of groups of people; those of one line replace one another in counterfactual texts.
 IDENTITY_GROUPS = [
@@ -98,11 +98,16 @@ class Model:
 
     def word_features(self, word: str) -> list[str]:
         """Those of ``features_of`` that have a weight; more than once where the word repeats them."""
-        weights, marked = self.weights, f"^{word}$"
-        found = [f"={word}"] if f"={word}" in weights else []
+        # The model's own strings, so that what remembers them holds no copies.
+        named, marked = self.named.get, f"^{word}$"
+        found = [named(f"={word}")]
         for size in GRAM_SIZES:
-            found += [gram for i in range(len(marked) - size + 1) if (gram := marked[i : i + size]) in weights]
-        return found
+            found += [named(marked[i : i + size]) for i in range(len(marked) - size + 1)]
+        return [name for name in found if name is not None]
+
+    @cached_property
+    def named(self) -> dict[str, str]:
+        return {name: name for name in self.weights}
 
     @cached_property
     def scorer(self) -> Scorer:
