@@ -15,7 +15,7 @@ from kerbline.operators.lookup import fits_broadcast, lookup, measured, spread_j
 from kerbline.session import pin, store
 
 LISTED_SUCCESSORS = 10_000
-LEVELS_PER_PIN = 10
+LEVELS_PER_STORE = 10
 
 
 def successors(edges: DataFrame) -> DataFrame:
@@ -76,8 +76,8 @@ def nearest_target(
 
 
 def _by_levels(start: DataFrame, step, keys: list[str], max_hops: int | None) -> DataFrame:
-    """Breadth-first levels until nothing new is reached; each level is pinned and measured once."""
-    frontier = pin(start.withColumn("hops", F.lit(0)))
+    """Breadth-first levels until nothing new is reached; each level is stored and measured once."""
+    frontier = store(start.withColumn("hops", F.lit(0)), "level")
     reached = frontier
     level = 0
     while max_hops is None or level < max_hops:
@@ -86,10 +86,10 @@ def _by_levels(start: DataFrame, step, keys: list[str], max_hops: int | None) ->
             break
         level += 1
         fresh = step(frontier.drop("hops"), small).join(reached.select(*keys), keys, "left_anti")
-        frontier = pin(fresh.withColumn("hops", F.lit(level)))
+        frontier = store(fresh.withColumn("hops", F.lit(level)), "level")
         reached = reached.unionByName(frontier)
-        if level % LEVELS_PER_PIN == 0:
-            reached = pin(reached)
+        if level % LEVELS_PER_STORE == 0:
+            reached = store(reached, "levels")
     return reached
 
 

@@ -396,6 +396,12 @@ ORACLES = {
         FROM scores""",
     "sink_replace_is_idempotent": f"WITH {CLEAN} SELECT event_id, zone, strftime(ts, '%Y-%m-%d') AS date FROM clean",
     "src_catalog_table": f"WITH {SCORES} {_RISK_BY_ZONE}",
+    "src_table_listing": f"""WITH {CLEAN} SELECT "table", false AS temporary, (SELECT count(*) FROM clean) AS rows
+        FROM (VALUES ('clean'), ('features')) AS tables("table")""",
+    "src_arrival_folders": """SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, count(*) AS records
+        FROM events GROUP BY ALL""",
+    "ml_labelled_guard": """SELECT lang AS severity, count(*) AS records, true AS empty_refused FROM documents
+        WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang""",
     "src_json_roundtrip": f"""WITH {SRC} SELECT event_id, "timestamp", intersection_id, zone,
         cast(cast(speed_kmh AS float) AS double) AS speed_kmh, congestion, vehicle_type, vehicle_count, weather, signal_phase,
         incident_flag, record_type FROM raw""",

@@ -192,6 +192,41 @@ def src_catalog_table(spark, sf_dir):
     return reports.risk_by_zone_sql(spark, name)
 
 
+def src_table_listing(spark, sf_dir):
+    """Both tables registered and listed by the catalog, with the rows that their names give."""
+    root = scratch_path(spark, "listed")
+    writers.write_clean(views.sensor_clean(spark, sf_dir), f"{root}/clean")
+    writers.write_features(views.sensor_scores(spark, sf_dir), f"{root}/features")
+    tag = root.rsplit("-", 1)[1]
+    names = {f"kerbline_clean_{tag}": "clean", f"kerbline_features_{tag}": "features"}
+    listing = writers.register_tables(spark, f"{root}/clean", f"{root}/features", tuple(names))
+    listed = listing.where(F.col("tableName").isin(list(names))).select(cells.cases(F.col("tableName"), names).alias("table"), "isTemporary")
+    rows = [spark.table(name).groupBy(F.lit(kind).alias("table")).agg(F.count(F.lit(1)).alias("rows")) for name, kind in names.items()]
+    return listed.join(reduce(DataFrame.unionByName, rows), "table").select("table", F.col("isTemporary").alias("temporary"), "rows")
+
+
+def src_arrival_folders(spark, sf_dir):
+    """Accepted records by the folder of their arrival, written partitioned and read back by folder names."""
+    path = scratch_path(spark, "arrivals")
+    events = views.table(spark, sf_dir, "events")
+    placed = events.select("event_id", cells.arrival_date(F.col("ts")).alias("date"), cells.arrival_hour(F.col("ts")).alias("hour"))
+    writers.gathered(placed, "date").write.partitionBy("date", "hour").parquet(path)
+    back = spark.read.option("basePath", path).schema("event_id long, date string, hour string").parquet(path)
+    return back.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("records"))
+
+
+def ml_labelled_guard(spark, sf_dir):
+    """The labelled records of a corpus, and whether a corpus without any is refused instead of trained on."""
+    corpus = views.language_corpus(spark, sf_dir)
+    kept = ml.labelled(corpus)
+    try:
+        ml.labelled(corpus.withColumn("text", F.lit(None).cast("string")))
+        refused = False
+    except RuntimeError:
+        refused = True
+    return kept.groupBy("severity").agg(F.count(F.lit(1)).alias("records")).withColumn("empty_refused", F.lit(refused))
+
+
 def src_json_roundtrip(spark, sf_dir):
     """Raw events as JSON lines, read back under the fixed schema."""
     path = scratch_path(spark, "raw")
@@ -603,6 +638,9 @@ QUERIES = {
     "src_sink_parquet_roundtrip": src_sink_parquet_roundtrip,
     "sink_replace_is_idempotent": sink_replace_is_idempotent,
     "src_catalog_table": src_catalog_table,
+    "src_table_listing": src_table_listing,
+    "src_arrival_folders": src_arrival_folders,
+    "ml_labelled_guard": ml_labelled_guard,
     "src_json_roundtrip": src_json_roundtrip,
     "sink_scored_json": sink_scored_json,
     "src_incident_corpus": src_incident_corpus,

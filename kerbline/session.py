@@ -15,7 +15,6 @@ def build_session(app_name: str = "kerbline", master: str | None = None, **conf:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.parquet.compression.codec", "snappy")
         # A repeated key in a JSON object keeps its last value instead of spoiling the record.
         .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
