@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import kerbline
-from kerbline.session import scratch_path
+from kerbline.session import store
 
 #: A set of ids or rows is broadcast up to this many (a few dozen MB as a hash table).
 BROADCAST_IDS = 1_000_000
@@ -25,21 +25,8 @@ SLICE_BYTES = 8 << 20
 HOT_SHARE = 1_000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet below the shared folder and read back.
-
-    That cuts the lineage and survives lost executors. The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_on_exit(spark: SparkSession, path: str) -> None:
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+#: A table written once as Parquet below the shared folder and read back: that cuts the lineage and survives lost executors.
+stored = store
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ from kerbline.llm import (
     transcripts,
     url_filter,
 )
-from kerbline.llm.common import delete_on_exit, fold
+from kerbline.llm.common import fold
 from kerbline.session import scratch_path
 
 #: The vocabulary of the byte-level BPE query; a parameter of the operator.
@@ -116,7 +116,6 @@ SHARD_LAYOUT = shards.Layout()
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every sequence of byte ids of the documents stands, read back from the shards that were written."""
     path = scratch_path(spark, "training-shards")
-    delete_on_exit(spark, path)
     shards.write_shards(shards.byte_ids(table(spark, sf_dir, "documents")), path, ORDER_KEY, SHARD_LAYOUT)
     rows = shards.read_shards(spark, path, SHARD_LAYOUT)
     return rows.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))

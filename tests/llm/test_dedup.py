@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kerbline.llm import components, exact_dedup, simhash
+from kerbline.session import store
 
 SCHEMA = "doc_id long, text string, keep_id string, component_id string, fp string"
 
@@ -82,9 +83,21 @@ def test_chunks_are_defined_by_content(spark):
     assert len(first & second) >= len(first) - 1 > 5
 
 
-def test_exact_plan_is_native(docs):
-    plan = exact_dedup.cut(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_whole_query_is_native(docs, monkeypatch):
+    """Every plan that the query stores on its way and the one it returns, with and without clashing hashes."""
+    plans = []
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(exact_dedup, "stored", watched)
+    for chunk_hash in (F.xxhash64, few_hashes):
+        rows = exact_dedup.exact_duplicates(docs, chunk_hash=chunk_hash)
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 8
+    # The made-up input is a Python table itself; only its scan may say so.
+    assert not any(re.search("Python|Arrow|Pandas", line) for plan in plans for line in plan.splitlines() if "ExistingRDD" not in line)
 
 
 def plain_fingerprint(text):
