@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import bpe, decontaminate, exact_dedup, queries, simhash, toxicity
+from kerbline.llm import bpe, decontaminate, exact_dedup, minhash, queries, simhash, toxicity
 from kerbline.llm.common import stored
 
 
@@ -22,8 +22,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8, that of the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document, that of the smallest id, of each group linked by fingerprints or by five-word shingles at a similarity of 0.8."""
+    return simhash.drop_near_duplicates(docs, minhash.Settings())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

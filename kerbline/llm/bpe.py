@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from kerbline.llm.common import map_arrow
 
 #: Pre-tokens a task remembers before it starts afresh; about 100 MB.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
 
 #: Letters of the Latin blocks up to U+02AF. In texts of only these, ASCII and general punctuation, the
 #: tokenizer's classes can be written without Unicode properties, which the faster engine understands.

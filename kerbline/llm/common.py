@@ -79,6 +79,8 @@ def map_arrow(
         for batch in (part for whole in batches for part in slices(whole)):
             made = compute(*(batch.column(needed.index(name)) for name in inputs))
             yield pa.RecordBatch.from_arrays([*(batch.column(needed.index(name)) for name in keep), *made], names=names)
+        # A worker serves many tasks: what this one held must not count beside the next one's.
+        pa.default_memory_pool().release_unused()
 
     return df.select(*(df[f"`{name}`"] for name in needed)).mapInArrow(run, schema)
 

@@ -56,7 +56,7 @@ BLOCK_BYTES = 4 << 20
 #: Shingles whose minima are taken at once.
 COUNTED = 1 << 10
 #: Words a task remembers, and the longest of them in bytes.
-MEMO_WORDS, MEMO_BYTES = 200_000, 64
+MEMO_WORDS, MEMO_BYTES = 50_000, 64
 
 TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -135,16 +135,15 @@ def signed_halves(data: bytes) -> tuple[int, int]:
     return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The 64 bits that more than half of the hashes have, as a signed long: a SimHash fingerprint of the set."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int.from_bytes(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+#: A fingerprint of a whole text as a signed long, and the links ``a, b`` between classes (``cls, fp``) that follow from it.
+Fingerprint = Callable[[str | None], int]
+FurtherLinks = Callable[[DataFrame], DataFrame]
 
 
-def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
+def signatures(docs: DataFrame, settings: Settings, fingerprint: Fingerprint | None = None) -> DataFrame:
     """``id, row, n, k1, k2, fp, packed`` per row of ``docs`` (``id, row, text``).
 
-    That is the size, name and fingerprint of its set, and its signature.
+    That is the size and name of its set, the text's ``fingerprint`` (null without one) and its signature.
     """
 
     def work():
@@ -152,14 +151,17 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
         flips, factors = draws(settings.bands)
 
         def compute(texts: pa.Array) -> list[pa.Array]:
-            sizes, names, packed = [], [], []
-            for text in texts:
-                hashes = shingles(text.as_py(), settings.words, known)
+            sizes, names, prints, packed = [], [], [], []
+            for value in texts:
+                text = value.as_py()
+                hashes = shingles(text, settings.words, known)
                 sizes.append(len(hashes))
-                names.append((*signed_halves(hashes.tobytes()), majority(hashes)))
+                names.append(signed_halves(hashes.tobytes()))
+                prints.append(fingerprint(text) if fingerprint else None)
                 packed.append(signature(hashes, flips, factors) if len(hashes) else np.zeros(0, np.int64))
-            columns = np.array(names, np.int64).reshape(-1, 3)
-            return [pa.array(sizes, pa.int64()), *(pa.array(columns[:, i]) for i in range(3)), pa.array(packed, pa.list_(pa.int64()))]
+            columns = np.array(names, np.int64).reshape(-1, 2)
+            halves = [pa.array(columns[:, i]) for i in range(2)]
+            return [pa.array(sizes, pa.int64()), *halves, pa.array(prints, pa.int64()), pa.array(packed, pa.list_(pa.int64()))]
 
         return compute
 
@@ -339,14 +341,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     return rows.where(similar(shared, F.size("hashes_a"), F.size("hashes_b"), settings.similarity)).select("a", "b")
 
 
-#: Gives further pairs ``a, b`` of classes (``cls, fp``) to hold against each other in the first round.
-Candidates = Callable[[DataFrame], DataFrame]
-
-
-def links(
-    classes: DataFrame, docs: DataFrame, settings: Settings, block: int = BLOCK, candidates: Candidates | None = None
-) -> DataFrame:
-    """Links ``a, b`` between classes (``cls, n, fp, packed, row``), enough to connect all that are linked."""
+def links(classes: DataFrame, docs: DataFrame, settings: Settings, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` between classes (``cls, n, packed, row``), enough to connect all that are linked."""
     entries = classes.select("cls", F.posexplode("packed").alias("band", "word"))
     entries = entries.select(F.xxhash64("band", "word").alias("list"), "band", "cls")
     lists = entries.groupBy("list", "band").agg(F.count("*").alias("size"), F.min("cls").alias("hub"))
@@ -356,15 +352,13 @@ def links(
     # First round: every class and the hub that it shares the most bands with.
     met = entries.where("cls <> hub").groupBy(F.col("cls").alias("b"), F.col("hub").alias("a")).count()
     best = met.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    if candidates:
-        best = best.unionByName(candidates(classes.select("cls", "fp"))).distinct()
     best = stored(best, "minhash-best")
     sides = classes.select("cls", "n", "packed")
     rows = join_hot(best, sides.toDF("a", "n_a", "packed_a"), ["a"]).join(sides.toDF("b", "n_b", "packed_b"), "b")
     near = rows.where(of_like_size(F.col("n_a"), F.col("n_b"), settings.similarity))
     near = near.where(estimate(F.col("packed_a"), F.col("packed_b"), settings.bands) >= settings.floor)
     near = stored(near.select("a", "b"), "minhash-near")
-    wanted = entries.select("cls").union(best.select("a")).union(best.select("b")).distinct()
+    wanted = entries.select("cls").distinct()
     wanted = wanted.join(classes.select("cls", "row"), "cls")
     sets = full_sets(docs, stored(wanted, "minhash-wanted"), settings.words)
     first = stored(confirmed(near, sets, settings), "minhash-links")
@@ -398,17 +392,30 @@ def links(
 # ---- documents ----------------------------------------------------------------------------------
 
 
-def marks(docs: DataFrame, settings: Settings, block: int = BLOCK, candidates: Candidates | None = None) -> DataFrame:
-    """``id, row, n, component_id, keep`` per row of ``docs`` (``id, row, text``); ``keep`` is the row that stands for the component."""
-    rows = stored(signatures(docs, settings), "minhash-signatures")
+def marks(
+    docs: DataFrame,
+    settings: Settings,
+    block: int = BLOCK,
+    fingerprint: Fingerprint | None = None,
+    further_links: FurtherLinks | None = None,
+) -> DataFrame:
+    """``id, row, n, component_id, keep`` per row of ``docs`` (``id, row, text``); ``keep`` is the row that stands for the component.
+
+    With ``fingerprint`` and ``further_links``, classes are also linked by the fingerprints of their texts.
+    """
+    rows = stored(signatures(docs, settings, fingerprint), "minhash-signatures")
     spoken = rows if settings.link_empty else rows.where("n > 0")
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("first")
     classes = spoken.groupBy("k1", "k2").agg(
-        first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("packed").alias("packed")
+        first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("packed").alias("packed")
     )
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "minhash-classes")
-    spoken_classes = classes.where("n > 0").select("cls", "n", "fp", "packed", F.col("first.row").alias("row"))
-    found = links(spoken_classes, docs, settings, block, candidates)
+    spoken_classes = classes.where("n > 0").select("cls", "n", "packed", F.col("first.row").alias("row"))
+    found = links(spoken_classes, docs, settings, block)
+    if further_links:
+        # Texts of one set may differ in their fingerprints, which count repeats.
+        prints = spoken.select("k1", "k2", "fp").distinct().join(classes.select("k1", "k2", "cls"), ["k1", "k2"])
+        found = found.unionByName(further_links(stored(prints.select("cls", "fp"), "minhash-prints")))
     linked = stored(components(found), "minhash-components")
     named = classes.join(linked, classes["cls"] == linked["node"], "left")
     named = stored(named.select("k1", "k2", "copies", "first", F.coalesce("component", "cls").alias("part")), "minhash-named")
@@ -440,10 +447,12 @@ def drop_near_duplicates(
     settings: Settings = Settings(),
     id_col: str = "doc_id",
     text_col: str = "text",
-    candidates: Candidates | None = None,
+    fingerprint: Fingerprint | None = None,
+    further_links: FurtherLinks | None = None,
 ) -> DataFrame:
-    """One row of each component, that of the smallest id, with all its columns."""
+    """One row of each component (see ``marks``), that of the smallest id, with all its columns."""
     numbered = with_row(docs, "__row")
     rows = numbered.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
-    dropped = marks(rows, settings, candidates=candidates).where(F.col("row") != F.col("keep")).select("row")
+    marked = marks(rows, settings, fingerprint=fingerprint, further_links=further_links)
+    dropped = marked.where(F.col("row") != F.col("keep")).select("row")
     return without_rows(numbered, stored(dropped, "near-dropped"), "__row")

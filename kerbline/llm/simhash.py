@@ -11,10 +11,10 @@ Equal fingerprints are one entry of the index. Posting lists up to ``LIST_ENTRIE
 Longer ones are split into blocks of about that size and compared block by block inside tasks, which give back
 no more links per block pair than connect it; nothing is capped and no link between components is lost.
 
-The index serves a second use, ``drop_near_duplicates``, which keeps one of the texts that are similar by their
-five-word shingles. Pairs at a Jaccard similarity of 0.8 differ in about ten of 64 bits, more than any index of positional
-bytes reaches without lists as long as the corpus; so the index proposes the pairs within three bits of five-word
-fingerprints, the bands of ``minhash.py`` propose the more distant ones, and all are confirmed on the full sets.
+``drop_near_duplicates`` keeps one of the texts that are so linked. Its ``settings`` widen the groups: pairs at a
+Jaccard similarity of 0.8 differ in about ten of 64 bits, more than any index of positional bytes reaches without lists as
+long as the corpus, so texts that are similar by their full sets of shingles are linked besides, through ``minhash.py``.
+Every link of the index stays a link, and a group is what either kind connects.
 
 Texts are read whole; null and texts without words have fingerprint zero. Components are named by their
 smallest id; rows whose id is null take part with their text but name no component.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbline.llm import minhash
-from kerbline.llm.common import join_groups, map_arrow, ship_package, stored
+from kerbline.llm.common import join_groups, map_arrow, ship_package, stored, with_row, without_rows
 from kerbline.llm.components import components
 
 SEED = 42
@@ -182,19 +182,45 @@ def near_duplicates(
     )
 
 
-def position_candidates(classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of classes (``cls, fp``) that the byte-position index links, and of classes with one fingerprint."""
+def signed_fingerprint(text: str | None) -> int:
+    value = fingerprint(text)
+    return value - (value >> 63 << 64)
+
+
+def fingerprint_links(classes: DataFrame) -> DataFrame:
+    """Links ``a, b`` of classes (``cls, fp``, stored; a class may have several): one fingerprint, or linked by the index."""
     prints = classes.groupBy("fp").agg(F.min("cls").alias("rep"), F.count("*").alias("held"))
     prints = stored(prints, "fingerprint-classes")
     same = join_groups(classes, prints, ["fp"], "held").where("cls <> rep")
     return same.select(F.col("rep").alias("a"), F.col("cls").alias("b")).unionByName(links(prints.select("fp", "rep")))
 
 
+def _drop_by_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    numbered = with_row(docs, "__row")
+    rows = numbered.select(F.struct(id_col, "__row").alias("id"), F.col(text_col).alias("text"))
+    prints = stored(fingerprints(rows, "id").select(F.col(f"id.{id_col}").alias("id"), F.col("id.__row").alias("row"), "fp"), "fingerprints")
+    # Rows whose id is null come after all others.
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("first")
+    classes = prints.groupBy("fp").agg(first, F.count("*").alias("held")).withColumn("rep", F.monotonically_increasing_id())
+    classes = stored(classes, "fingerprint-classes")
+    linked = stored(components(links(classes.select("fp", "rep"))), "fingerprint-components")
+    named = classes.join(linked, classes["rep"] == linked["node"], "left")
+    named = stored(named.select("fp", "held", "first", F.coalesce("component", "rep").alias("part")), "fingerprint-named")
+    least = named.groupBy("part").agg(F.min("first").alias("least"), F.count("*").alias("classes"))
+    names = join_groups(named, stored(least, "fingerprint-least"), ["part"], "classes")
+    names = stored(names.select("fp", "held", F.col("least.row").alias("keep")), "fingerprint-names")
+    dropped = join_groups(prints, names, ["fp"], "held").where(F.col("row") != F.col("keep")).select("row")
+    return without_rows(numbered, stored(dropped, "near-dropped"), "__row")
+
+
 def drop_near_duplicates(
-    docs: DataFrame, settings: minhash.Settings = minhash.Settings(), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, settings: minhash.Settings | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row of each group of texts linked by ``settings``, that of the smallest id, with all its columns.
+    """One row of each group of linked texts, that of the smallest id, with all its columns.
 
-    Candidates are those of the byte-position index and of the signature bands; each link is confirmed on full sets.
+    Texts are linked as in ``near_duplicates``. With ``settings``, texts whose full sets reach its similarity are
+    linked besides.
     """
-    return minhash.drop_near_duplicates(docs, settings, id_col, text_col, position_candidates)
+    if settings is None:
+        return _drop_by_fingerprint(docs, id_col, text_col)
+    return minhash.drop_near_duplicates(docs, settings, id_col, text_col, signed_fingerprint, fingerprint_links)

@@ -45,8 +45,8 @@ SWAP_PENALTY = 1.0
 THRESHOLD = 0.5
 HELD_OUT_FOLDS = 5
 HELD_OUT_FOLD = 0
-#: Tokens a task remembers; about 50 MB.
-MEMO_ENTRIES = 200_000
+#: Tokens a task remembers; about 25 MB.
+MEMO_ENTRIES = 100_000
 
 #: Names of groups of people; those of one line replace one another in counterfactual texts.
 IDENTITY_GROUPS = [

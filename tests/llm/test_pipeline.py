@@ -94,3 +94,16 @@ def test_every_stage_keeps_all_columns_in_place(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("__row", F.lit(1))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.drop("__row"), str(tmp_path)).schema.names == docs.columns[:-1]
+
+
+def test_near_dedup_keeps_every_link_of_the_fingerprints(spark, tmp_path):
+    """Texts of like fingerprints whose five-word sets are far apart: long runs of one phrase with unlike ends."""
+    rng = random.Random(4)
+    run = " ".join(["same old phrase"] * 300)
+    texts = [f"{run} {prose(rng, 120)}", f"{run} {prose(rng, 120)}", prose(rng, 120)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    assert len(sets[0] & sets[1]) < 0.5 * len(sets[0] | sets[1])
+    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() <= simhash.MAX_BITS
+    docs = spark.createDataFrame([document(i, text) for i, text in enumerate(texts)], SCHEMA)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()) == [0, 2]
