@@ -41,7 +41,13 @@ def retrieve(
     """
     distinct = pin(queries.select("query").where(F.col("query").isNotNull()).distinct())
     inline = _inline(distinct, max_inline)
-    scored = _score_inline(inline, docs) if inline is not None else _score_by_tokens(distinct, docs, k)
+    if inline is None:
+        # Queries may be whole texts: their numbers stand for them in all that is shuffled.
+        texts = pin(distinct.select(F.monotonically_increasing_id().alias("_number"), "query"))
+        asked = texts.select(F.col("_number").alias("query"), F.explode(words_of(F.col("query"))).alias("word"))
+        scored = _score_by_tokens(asked, docs, k)
+    else:
+        scored = _score_inline(inline, docs)
     # The rank limit is applied in every task before the shuffle, so a query that matches most
     # documents sends k rows per task, not all of its matches.
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_ord")
@@ -49,6 +55,8 @@ def retrieve(
     columns = ["query", "rank", "score", "doc_ord", *[c for c in docs.columns if c != "doc_ord"]]
     if inline is not None and len(inline) * k <= MAX_BROADCAST_ROWS:
         return docs.join(F.broadcast(best), "doc_ord").select(*columns)
+    if inline is None:
+        best = pin(best).withColumnRenamed("query", "_number").join(texts, "_number").drop("_number")
     best = pin(best)
     if fits_broadcast(best):
         return docs.join(F.broadcast(best), "doc_ord").select(*columns)
@@ -110,20 +118,24 @@ def _score_inline(inline: list, docs: DataFrame) -> DataFrame:
     return present.select("doc_ord", F.explode(matched).alias("hit")).select("hit.query", "doc_ord", "hit.score")
 
 
-def _score_by_tokens(distinct: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _score_by_tokens(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Many queries: substring search as equality joins over the vocabulary of distinct tokens.
 
-    Which words a token holds is worked out once per distinct token of the corpus. Documents look up their
-    tokens; then queries meet documents through their rare words first. A query's k-th best score by rare words is a
+    ``asked`` has ``query`` and ``word``. Which words a token holds is worked out once per distinct token of the corpus.
+    Documents look up their tokens and are stored as a row each with the numbers of their words; then queries meet documents through their rare words first. A query's k-th best score by rare words is a
     floor, and a document can add one per common word at most: documents that cannot reach the floor are left
     out, which loses no result. Only queries whose common words alone could reach it are scored on all their words.
     """
-    asked = pin(distinct.select("query", F.explode(words_of(F.col("query"))).alias("word")))
-    words = pin(asked.select("word").distinct())
+    asked = pin(asked)
+    words = pin(asked.select("word").distinct().withColumn("number", F.monotonically_increasing_id()))
+    asked = pin(lookup(asked, words, ["word"]).select("query", F.col("number").alias("word")))
     tokens = docs.select("doc_ord", F.explode(words_of(F.col("text"))).alias("token"))
     held = pin(_words_in_tokens(tokens.select("token").distinct(), words))
-    found = lookup(tokens, held, ["token"]).where(F.col("held").isNotNull())
-    by_doc = pin(found.select("doc_ord", F.explode("held").alias("word")).repartition("doc_ord").distinct())
+    found = lookup(tokens, held, ["token"]).where(F.size("held") > 0).select("doc_ord", "held")
+    # A token's words travel to their document as one short list, and a document's words are stored as one list.
+    doc_words = found.repartition("doc_ord").groupBy("doc_ord")
+    doc_words = store(doc_words.agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("words")), "doc-words")
+    by_doc = doc_words.select("doc_ord", F.explode("words").alias("word"))
 
     common_from = docs.count() / COMMON_SHARE
     spread = by_doc.groupBy("word").agg((F.count(F.lit(1)) > common_from).alias("common"))
@@ -142,20 +154,21 @@ def _score_by_tokens(distinct: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     kept = bounds.where(F.col("addable") < F.col("floor"))
     near = lookup(rare, kept, ["query"]).where(F.col("score") + F.col("addable") >= F.col("floor"))
     near = store(near.select("query", "doc_ord", "score"), "near")
-    added = spread_join(near, known.where("whole is null and common").select("query", "word"), "query", "doc_ord")
-    added = added.join(by_doc, ["doc_ord", "word"]).select("query", "doc_ord", F.lit(1).alias("score"))
-    by_bound = near.unionByName(added).groupBy("query", "doc_ord").agg(F.sum("score").cast("int").alias("score"))
+    common = known.where("whole is null and common").groupBy("query").agg(F.collect_set("word").alias("common"))
+    near = lookup(near, store(common, "common-words"), ["query"]).join(doc_words, "doc_ord")
+    added = F.size(F.array_intersect(F.coalesce("common", F.array().cast("array<long>")), "words"))
+    by_bound = near.select("query", "doc_ord", (F.col("score") + added).cast("int").alias("score"))
     return by_all_words.unionByName(by_bound)
 
 
 def _counted(by_doc: DataFrame, asked: DataFrame) -> DataFrame:
-    """How many of the asked words each document has, per query. ``by_doc`` is kept together by document."""
+    """How many of the asked words each document has, per query. A document's rows in ``by_doc`` lie together, so tasks count them."""
     pairs = spread_join(by_doc, asked.select("query", "word"), "word", "doc_ord")
     return pairs.groupBy("query", "doc_ord").agg(F.count(F.lit(1)).cast("int").alias("score"))
 
 
 def _words_in_tokens(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
-    """``token`` and, in ``held``, the words that occur in it; a token has few pieces, so the list is short."""
+    """``token`` and, in ``held``, the numbers of the ``words`` (``word, number``) in it; a token has few pieces, so the list is short."""
     # The vocabulary is small in bytes but costly per row: pinned first, a width by its rows then keeps
     # it from being merged into a few tasks.
     numbered = pin(vocabulary.withColumn("_token", F.monotonically_increasing_id()))
@@ -165,9 +178,10 @@ def _words_in_tokens(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     number, small = measured(words)
     if small and number <= MAX_WORDS_PER_TOKEN:
         listed = F.from_json(
-            F.lit(json.dumps([r["word"] for r in words.collect()])), F.lit("array<string>")
+            F.lit(json.dumps([r.asDict() for r in words.collect()])), F.lit("array<struct<word:string,number:bigint>>")
         )
-        return spread.select("token", F.filter(listed, lambda w: F.contains(F.col("token"), w)).alias("held"))
+        inside = F.filter(listed, lambda w: F.contains(F.col("token"), w["word"]))
+        return spread.select("token", F.transform(inside, lambda w: w["number"]).alias("held"))
     return numbered.join(_held_by_grams(spread, words, small), "_token").select("token", "held")
 
 
@@ -178,7 +192,7 @@ def _grams(text: str, size: Column, last: Column) -> Column:
 
 
 def _held_by_grams(tokens: DataFrame, words: DataFrame, small: bool) -> DataFrame:
-    """``_token`` and the words it holds, by a positional index of pieces of ``GRAM`` characters.
+    """``_token`` and the numbers of the words it holds, by a positional index of pieces of ``GRAM`` characters.
 
     Each word is listed under one of its pieces, the one that fewest tokens hold, with its offset. A token meets a word
     where it holds that piece, and holds the word if the characters around the piece are the word's. So what is compared
@@ -199,14 +213,14 @@ def _held_by_grams(tokens: DataFrame, words: DataFrame, small: bool) -> DataFram
     cut = cut.where(F.length("chunk") >= F.col("_size"))
     pieces = cut.select("_token", "chunk", "_size", F.inline(_grams("chunk", F.col("_size"), reach)))
     counts = store(pieces.groupBy("_size", "gram").agg(F.count(F.lit(1)).alias("_rows")), "gram-counts")
-    listed = words.select("word", "_size", F.inline(_grams("word", F.col("_size"), F.lit(CHUNK))))
+    listed = words.select("word", "number", "_size", F.inline(_grams("word", F.col("_size"), F.lit(CHUNK))))
     listed = listed.join(counts, ["_size", "gram"])
-    rarest = listed.groupBy("word").agg(F.min(F.struct("_rows", "at", "gram")).alias("best"), F.count(F.lit(1)).alias("_known"))
+    rarest = listed.groupBy("word", "number").agg(F.min(F.struct("_rows", "at", "gram")).alias("best"), F.count(F.lit(1)).alias("_known"))
     # A word of which some piece is in no token is in no token itself.
     pieces_of_word = F.least(F.length("word"), F.lit(CHUNK + GRAM - 1)) - F.least(F.length("word"), F.lit(GRAM)) + 1
     rarest = rarest.where(F.col("_known") == pieces_of_word)
-    anchors = rarest.select("word", F.col("best.gram").alias("gram"), (F.col("best.at") - 1).alias("offset"))
+    anchors = rarest.select("word", "number", F.col("best.gram").alias("gram"), (F.col("best.at") - 1).alias("offset"))
     met = spread_join(pieces.select("_token", "chunk", "at", "gram"), store(anchors, "anchors"), "gram", "_token")
     begins = F.col("at") - F.col("offset")
     met = met.where((begins >= 1) & (F.substring("chunk", begins, F.length("word")) == F.col("word")))
-    return met.groupBy("_token").agg(F.collect_set("word").alias("held"))
+    return met.groupBy("_token").agg(F.collect_set("number").alias("held"))

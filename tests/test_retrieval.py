@@ -61,3 +61,21 @@ def test_contexts_cut_join_and_default(spark):
     docs = spark.createDataFrame([(0, "low " + "x" * 100), (1, "a car is slow"), (2, "car")], "doc_ord int, text string")
     got = {r.query: r.context for r in retrieval.contexts(asked, docs, 2, 10, "none").collect()}
     assert got == {"low car": "a car is s; low xxxxxx", "xyzzy": "none"}
+
+
+def test_documents_are_shuffled_as_lists_of_numbers(spark, force_large, monkeypatch):
+    """What is kept per document is one row, however many words it holds, and no query's text goes with it."""
+    kept = {}
+
+    def watched(df, name):
+        kept[name] = made = stored(df, name)
+        return made
+
+    stored = retrieval.store
+    monkeypatch.setattr(retrieval, "store", watched)
+    docs = [" ".join(f"word{i % 7}{i}" for i in range(at, at + 40)) for at in range(30)]
+    queries = [f"word{i % 7}{i} word wor" for i in range(20)]
+    assert run(spark, queries, docs, 2, max_inline=1) == {q: brute(q, docs, 2) for q in queries}
+    assert kept["doc-words"].count() == len(docs)
+    assert kept["doc-words"].schema.simpleString() == "struct<doc_ord:int,words:array<bigint>>"
+    assert dict(kept["rare-scores"].dtypes)["query"] == "bigint"
