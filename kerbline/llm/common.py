@@ -21,6 +21,9 @@ BROADCAST_IDS = 1_000_000
 #: Rows, and about how many bytes, a task turns into Python values at a time.
 SLICE_ROWS = 1_000
 SLICE_BYTES = 8 << 20
+#: Spark's limit for a batch on its way to a Python worker. Its own is ten thousand rows or far more bytes, which the JVM
+#: holds outside its heap and the worker beside its slices, once per running task.
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A key is hot when it holds more than one in this many rows.
 HOT_SHARE = 1_000
 
@@ -46,6 +49,12 @@ def _ship(_application: str, context) -> None:
     context.addPyFile(archive)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold batches to ``SLICE_BYTES``, unless the session has a limit of its own; a longer row is a batch by itself."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(SLICE_BYTES))
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch within both limits; a row beyond them is a part of its own."""
     if batch.num_rows > 1 and (batch.num_rows > SLICE_ROWS or batch.nbytes > SLICE_BYTES):
@@ -69,6 +78,7 @@ def map_arrow(
     ``added``. Rows are neither dropped nor moved.
     """
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     keep = list(keep)
     needed = list(dict.fromkeys([*keep, *inputs]))
     schema = T.StructType([*(df.schema[name] for name in keep), *added])

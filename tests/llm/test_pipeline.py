@@ -4,13 +4,15 @@ import hashlib
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 import tiktoken
 from tiktoken.load import load_tiktoken_bpe
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import public_tokenizers
-from kerbline.llm import exact_dedup, queries, simhash
+from kerbline.llm import common, exact_dedup, queries, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, id string, cls string"
 
@@ -107,3 +109,15 @@ def test_near_dedup_keeps_every_link_of_the_fingerprints(spark, tmp_path):
     docs = spark.createDataFrame([document(i, text) for i, text in enumerate(texts)], SCHEMA)
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert sorted(r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()) == [0, 2]
+
+
+def test_workers_get_batches_of_bounded_bytes(spark):
+    """Long rows: what a worker holds of the JVM's batch, beside the slice it works on, is bounded."""
+    rows = spark.range(300, numPartitions=1).select("id", F.repeat(F.lit("x"), 200_000).alias("text"))
+
+    def work():
+        return lambda texts: [pa.array([sum(b.size for b in texts.buffers() if b)] * len(texts), pa.int64())]
+
+    made = common.map_arrow(rows, ["text"], ["id"], [T.StructField("held", T.LongType())], work).collect()
+    assert sorted(row.id for row in made) == list(range(300))
+    assert max(row.held for row in made) <= 2 * common.SLICE_BYTES
