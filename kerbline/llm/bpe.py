@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding (operator 10).
 
 A text is cut into pre-tokens by the tokenizer's pattern. Each pre-token is looked up in two tiers: a minimal
-perfect hash over the vocabulary resolves those that are one token; the others are merged with a heap of
-candidate pairs over a linked list of bytes, lowest rank first and leftmost among equals. Tasks remember the
-pre-tokens they have seen up to a fixed count.
+perfect hash over the vocabulary resolves those that are one token; the others are merged over a linked list of
+bytes, lowest rank first and leftmost among equals: short ones many at a time, side by side in the rows of a table,
+long ones with a heap of candidate pairs. Tasks remember the pre-tokens they have seen lately, up to a fixed count.
 
 Texts are read whole, in Arrow batches, without a shuffle. Null counts as empty. Encoded ids are stored as
 little-endian unsigned 32-bit integers in one binary value.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 from heapq import heapify, heappop, heappush
@@ -26,8 +27,16 @@ from pyspark.sql import types as T
 
 from kerbline.llm.common import map_arrow
 
-#: Pre-tokens a task remembers before it starts afresh; about 100 MB.
-MEMO_ENTRIES = 150_000
+#: Pre-tokens a task remembers, in two halves, and the characters of the longest; a few dozen MB.
+MEMO_ENTRIES = 100_000
+MEMO_CHARS = 64
+#: Bytes of the longest pre-token that is merged side by side with others, and how many are at once.
+COLUMNS = 32
+ROWS = 4_096
+#: Stands for the rank of a pair that makes no token.
+NO_RANK = np.iinfo(np.int64).max
+#: Characters of texts that are cut into pre-tokens before they are looked up; a longer text is taken by itself.
+PART_CHARS = 1 << 18
 
 #: Letters of the Latin blocks up to U+02AF. In texts of only these, ASCII and general punctuation, the
 #: tokenizer's classes can be written without Unicode properties, which the faster engine understands.
@@ -128,6 +137,79 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+@dataclass
+class PairTable:
+    """The pairs of tokens that make a token, sorted, with its rank: merges of many pre-tokens at once look them up."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    single: np.ndarray
+
+    @classmethod
+    def build(cls, ranks: dict[bytes, int]) -> PairTable | None:
+        """None if a byte is no token: then not every pre-token can be encoded."""
+        single = [ranks.get(bytes([value])) for value in range(256)]
+        if None in single:
+            return None
+        made = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    made[left << 32 | right] = rank
+        keys = np.fromiter(made, np.int64, len(made))
+        order = np.argsort(keys)
+        # One entry beyond all keys, so that a search always ends at one.
+        values = np.fromiter(made.values(), np.int64, len(made))[order]
+        return cls(np.append(keys[order], NO_RANK), np.append(values, NO_RANK), np.array(single, np.int64))
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, ``NO_RANK`` where it makes no token or one side is -1 (no symbol)."""
+        wanted = left << 32 | right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where((self.keys[at] == wanted) & (left >= 0) & (right >= 0), self.values[at], NO_RANK)
+
+
+def merge_columns(pieces: list[bytes], table: PairTable) -> list[bytes]:
+    """Packed ids of pre-tokens that are not one token, as ``merge_bytes`` gives them, all merged side by side.
+
+    Each step merges in every piece its pair of lowest rank, the leftmost among equals, over a linked list of bytes in
+    the piece's row; rows without a pair are done.
+    """
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    width = int(sizes.max())
+    held = np.arange(width) < sizes[:, None]
+    # The last column, beyond every piece, stands for the end and, as number -1, for what is in front of the first byte.
+    symbols = np.full((len(pieces), width + 1), -1, np.int64)
+    symbols[:, :width][held] = table.single[np.frombuffer(b"".join(pieces), np.uint8)]
+    after = np.tile(np.arange(1, width + 2), (len(pieces), 1))
+    before = np.tile(np.arange(-1, width), (len(pieces), 1))
+    ranks = np.full(symbols.shape, NO_RANK)
+    ranks[:, :width] = table.ranks_of(symbols[:, :-1], symbols[:, 1:])
+    rows = np.arange(len(pieces))
+    while True:
+        left = ranks[rows].argmin(1)
+        made = ranks[rows, left]
+        going = made != NO_RANK
+        rows, left, made = rows[going], left[going], made[going]
+        if not len(rows):
+            break
+        middle = after[rows, left]
+        right = after[rows, middle]
+        front = before[rows, left]
+        symbols[rows, left] = made
+        symbols[rows, middle] = -1
+        after[rows, left] = right
+        before[rows, right] = left
+        ranks[rows, middle] = NO_RANK
+        ranks[rows, left] = table.ranks_of(made, symbols[rows, right])
+        ranks[rows, front] = table.ranks_of(symbols[rows, front], made)
+    kept = symbols >= 0
+    packed = symbols[kept].astype("<u4").tobytes()
+    ends = (4 * np.cumsum(kept.sum(1))).tolist()
+    return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 @dataclass
 class ByteBpe:
     """A vocabulary with its lookups; made on the driver and broadcast (its size is that of the vocabulary)."""
@@ -135,9 +217,11 @@ class ByteBpe:
     ranks: dict[bytes, int]
     pattern: str
     whole: PerfectHash = field(init=False)
+    pairs: PairTable | None = field(init=False)
 
     def __post_init__(self) -> None:
         self.whole = PerfectHash.build(self.ranks)
+        self.pairs = PairTable.build(self.ranks)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -147,7 +231,7 @@ class ByteBpe:
             return cls({base64.b64decode(token): int(rank) for token, rank in pairs}, pattern)
 
     def __getstate__(self) -> dict:
-        return {name: self.__dict__[name] for name in ("ranks", "pattern", "whole")}
+        return {name: self.__dict__[name] for name in ("ranks", "pattern", "whole", "pairs")}
 
     @cached_property
     def memo(self) -> _Memo:
@@ -174,10 +258,24 @@ class ByteBpe:
         return [found] if found is not None else merge_bytes(piece, self.ranks)
 
     def encode_packed(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Packed ids of each text; null counts as empty."""
+        part, chars = [], 0
+        for text in texts:
+            part.append(self.pre_tokens(text or ""))
+            chars += len(text or "")
+            if chars >= PART_CHARS:
+                yield from self._encode_part(part)
+                part, chars = [], 0
+        yield from self._encode_part(part)
+
+    def _encode_part(self, part: list[list[str]]) -> Iterator[bytes]:
         memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        return b"".join(map(memo.__getitem__, self.pre_tokens(text)))
+        memo.learn(set().union(*part))
+        for tokens in part:
+            yield b"".join(map(memo.__getitem__, tokens))
 
     def decode_packed(self, packed: bytes) -> bytes | None:
         """The bytes of the ids; None if an id is not in the vocabulary."""
@@ -188,14 +286,46 @@ class ByteBpe:
 
 
 class _Memo(dict):
-    """Pre-token to packed ids, filled on demand."""
+    """Pre-token to packed ids, filled on demand.
+
+    Half as many entries as allowed are filled, then become the older half; what is asked for again moves back, so
+    that frequent pre-tokens stay. The limit also holds within one text.
+    """
 
     def __init__(self, bpe: ByteBpe) -> None:
         super().__init__()
         self.bpe = bpe
+        self.older: dict[str, bytes] = {}
+
+    def keep(self, token: str, packed: bytes) -> None:
+        if len(self) >= MEMO_ENTRIES // 2:
+            self.older = dict(self)
+            self.clear()
+        self[token] = packed
+
+    def learn(self, tokens: set[str]) -> None:
+        """Take up the pre-tokens that are not known yet: those of one token, and the short ones merged side by side."""
+        bpe, rest = self.bpe, []
+        for token in tokens.difference(self, self.older):
+            piece = token.encode()
+            found = bpe.whole.get(piece)
+            if found is not None:
+                self.keep(token, found.to_bytes(4, "little"))
+            elif len(piece) <= COLUMNS and bpe.pairs:
+                rest.append(piece)
+        # Pieces of about one length fill the rows of a table.
+        rest.sort(key=len)
+        for at in range(0, len(rest), ROWS):
+            run = rest[at : at + ROWS]
+            for piece, packed in zip(run, merge_columns(run, bpe.pairs), strict=True):
+                self.keep(piece.decode(), packed)
 
     def __missing__(self, token: str) -> bytes:
-        packed = self[token] = np.array(self.bpe.encode_piece(token.encode()), "<u4").tobytes()
+        packed = self.older.get(token)
+        if packed is None:
+            packed = np.array(self.bpe.encode_piece(token.encode()), "<u4").tobytes()
+        if len(token) <= MEMO_CHARS:
+            self.keep(token, packed)
         return packed
 
 
@@ -217,7 +347,7 @@ def encode(
         own = shared.value
 
         def compute(texts: pa.Array) -> list[pa.Array]:
-            packed = [own.encode_packed(text or "") for text in texts.to_pylist()]
+            packed = list(own.encode_all(texts.to_pylist()))
             made = [pa.array(packed, pa.binary())]
             if decoded_col:
                 made.append(pa.array(map(own.decode_packed, packed), pa.binary()))

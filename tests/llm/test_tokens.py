@@ -140,3 +140,24 @@ def test_wider_ids_and_empty_input(spark, tmp_path):
     assert b"".join(bytes(r.ids) for r in got) == packed and [r.n_tokens for r in got] == [4, 4, 2]
     none = spark.read.parquet(source).where(F.lit(False))
     assert shards.write_shards(none, str(tmp_path / "none"), "k", layout) == 0
+
+
+def test_pieces_merged_side_by_side_as_one_by_one(tokenizer, library):
+    rng = np.random.default_rng(2)
+    pieces = [bytes(rng.choice(list(" aeinrstüñß中".encode()), rng.integers(1, 33)).tolist()) for _ in range(3000)]
+    pieces += [b"a" * 32, b" the", b"\xff"]
+    made = bpe.merge_columns(pieces, tokenizer.pairs)
+    assert [ids(packed) for packed in made] == [bpe.merge_bytes(piece, tokenizer.ranks) for piece in pieces]
+    assert bpe.PairTable.build({b"a": 0, b"aa": 1}) is None
+
+
+def test_memory_for_seen_pieces_is_bounded_within_one_text(tokenizer, library, monkeypatch):
+    """Frequent pieces among rare ones, a text of many parts, and pieces too long to be remembered."""
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 200)
+    monkeypatch.setattr(bpe, "PART_CHARS", 1000)
+    own = bpe.ByteBpe(tokenizer.ranks, tokenizer.pattern)
+    text = " ".join(f"the xq{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}zv{chr(97 + i // 676)}" for i in range(5000))
+    texts = [text, None, "", "x" * 5000, *TEXTS, text]
+    assert [ids(packed) for packed in own.encode_all(texts)] == [library.encode_ordinary(t or "") for t in texts]
+    assert len(own.memo) <= 200
+    assert max(map(len, own.memo)) <= bpe.MEMO_CHARS
