@@ -513,13 +513,9 @@ def ml_metrics(spark, sf_dir):
     sizes = classes.groupBy(*runs).agg(
         F.sum("n").alias("test_rows"), F.round(F.max("n") / F.sum("n"), 4).alias("majority_share")
     )
-    found = [
-        ml.intervals(predictions.where((F.col("classifier") == c) & (F.col("condition") == d)), "key").select(
-            F.lit(c).alias("classifier"), F.lit(d).alias("condition"), F.struct("*").alias("stored")
-        )
-        for c, d in (row for row in metrics.select(*runs).collect())
-    ]
-    joined = written.join(reduce(DataFrame.unionByName, found), runs).join(sizes, runs)
+    found = ml.intervals(predictions, "key", by=runs)
+    stored = F.struct(*(c for c in found.columns if c not in runs)).alias("stored")
+    joined = written.join(found.select(*runs, stored), runs).join(sizes, runs)
     agrees = (F.col("accuracy") == F.col("stored.accuracy")) & (F.col("f1") == F.col("stored.f1"))
     between = F.col("accuracy").between(F.col("stored.accuracy_low"), F.col("stored.accuracy_high"))
     return joined.select(

@@ -1,4 +1,8 @@
+import hashlib
+from collections import Counter
+
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -97,3 +101,38 @@ def test_batch_faults_drop_a_fortieth(spark):
 
     stats = quality_stats(faults.inject_batch_faults(good)).first()
     assert 2.0 < stats.drop_rate_pct < 3.0
+
+
+def test_new_labels_take_the_words_that_are_there(spark):
+    train = corpus(spark, 200)
+    words, rows = ml.word_features(train)
+    assert set(rows.columns) == {"id", "severity", "features"}
+    noisy = ml.relabel(rows, "id", fixed.SEVERITIES, share=0.5)
+    front, made = ml.index_labels(words, noisy)
+    whole = ml.relabel(train, "id", fixed.SEVERITIES, share=0.5)
+    expected = Pipeline(stages=ml.build_text_classifier().getStages()[:-1]).fit(whole).transform(whole)
+    assert Counter(map(tuple, made.collect())) == Counter(map(tuple, expected.select("label", "features").collect()))
+    assert front.transform(train.limit(3)).select("features").count() == 3
+
+
+def test_intervals_by_run_are_those_of_each_run(spark):
+    rows = [(run, key, float(i % 3), float(i * i % 3)) for run in ("a", "b") for i in range(90) for key in (str(i // 2), None)]
+    rows = [(run, key, label, label if run == "b" else guess) for run, key, label, guess in rows]
+    predictions = spark.createDataFrame(rows, "run string, key string, label double, prediction double")
+
+    expected = Counter()
+    for run, key, label, guess in rows:
+        for replicate in range(10 if key is not None else 0):
+            block, place = divmod(replicate, ml.DRAWS_PER_DIGEST)
+            digest = hashlib.md5(f"{block + ml.BOOTSTRAP_SEED}:{key}".encode()).hexdigest()
+            drawn = int(digest[8 * place : 8 * place + 8], 16) / 4294967296
+            expected[run, replicate, label, guess] += sum(drawn >= step for step in ml.poisson_steps())
+    cells = ml.bootstrap_cells(predictions, "key", 10, ["run"])
+    assert cells.columns == ["run", "replicate", "label", "prediction", "n"]
+    assert {tuple(r)[:4]: r.n for r in cells.collect()} == {cell: n for cell, n in expected.items() if n}
+
+    together = {r.run: tuple(r)[1:] for r in ml.intervals(predictions, "key", by=["run"]).collect()}
+    apart = {run: tuple(ml.intervals(predictions.where(F.col("run") == run), "key").first()) for run in ("a", "b")}
+    assert together == apart
+    assert apart["a"] != apart["b"]
+    assert tuple(ml.intervals(predictions.where("run = 'c'"), "key").first()) == (None,) * 6
