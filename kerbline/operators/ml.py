@@ -8,13 +8,14 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, StringIndexer, StringIndexerModel, Tokenizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, StopWordsRemover, StringIndexer, StringIndexerModel, Tokenizer
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kerbline import fixed
 from kerbline.functions.cells import pick, scoring_text, unit_draw
-from kerbline.session import pin, scratch_path
+from kerbline.operators.fitting import fit_side_by_side
+from kerbline.session import scratch_path, store
 
 UNKNOWN_LABEL = "__unknown"
 CLASSES_AT_ONCE = 4
@@ -60,12 +61,11 @@ def build_text_classifier(classifier: str = "logreg") -> Pipeline:
 def word_features(train: DataFrame) -> tuple[PipelineModel, DataFrame]:
     """The fitted stages before the label index, and the training rows with their ``features`` instead of the text.
 
-    A text is cut into words once: its hashed counts are pinned, and everything behind them works from there. Fitting
-    reads its rows again and again; with pinned rows a lost executor costs a read and not the whole preparation. A small
-    set is put in few tasks, where an iteration would otherwise be all scheduling.
+    A text is cut into words once: its hashed counts are stored, and everything behind them works from there; a lost
+    executor costs a read and not the whole preparation. A small set is put in few tasks.
     """
     *cut, weigh = build_text_classifier().getStages()[:4]
-    counted = pin(PipelineModel(cut).transform(train).drop("text", "words", "filtered"))
+    counted = store(PipelineModel(cut).transform(train).drop("text", "words", "filtered"), "counted")
     weighed = weigh.fit(counted)
     tasks = -(-weighed.numDocs // ROWS_PER_TASK)
     rows = weighed.transform(counted.coalesce(max(tasks, 1))).drop("raw_features")
@@ -82,13 +82,32 @@ def text_features(train: DataFrame) -> tuple[PipelineModel, DataFrame]:
     return index_labels(*word_features(train))
 
 
-def fit_classifier(front: PipelineModel, rows: DataFrame, classifier: str = "logreg") -> PipelineModel:
-    """The whole model. The classifier is taken back from its saved form: a fresh one carries its
-    training summary into every scoring task, and with it the session, which may not serialize."""
-    fitted = build_text_classifier(classifier).getStages()[-1].fit(rows)
+def fit_classifiers(rows: DataFrame, wanted: Sequence[tuple[PipelineModel, str, str]]) -> list[PipelineModel]:
+    """The whole models, one per wanted ``(stages in front, label column, classifier)``, all of the same ``features``.
+
+    They are fitted side by side: the rows are kept once, however many models there are, and a pass serves them all.
+    """
+    stages = [build_text_classifier(classifier).getStages()[-1] for _, _, classifier in wanted]
+    weights = next(s for s in wanted[0][0].stages if isinstance(s, IDFModel)).idf.toArray()
+    labels = [label for _, label, _ in wanted]
+    fitted = fit_side_by_side(rows, weights, list(zip(stages, labels, strict=True)))
+    return [
+        PipelineModel([*front.stages, last or _fit_alone(rows.select(F.col(label).alias("label"), "features"), stage)])
+        for (front, label, _), stage, last in zip(wanted, stages, fitted, strict=True)
+    ]
+
+
+def _fit_alone(rows: DataFrame, stage):
+    """MLlib's own fit. The model is taken back from its saved form: a fresh one carries its training summary into every
+    scoring task, and with it the session, which may not serialize."""
+    fitted = stage.fit(rows)
     path = scratch_path(rows.sparkSession, "classifier")
     fitted.write().save(path)
-    return PipelineModel([*front.stages, type(fitted).load(path)])
+    return type(fitted).load(path)
+
+
+def fit_classifier(front: PipelineModel, rows: DataFrame, classifier: str = "logreg") -> PipelineModel:
+    return fit_classifiers(rows, [(front, "label", classifier)])[0]
 
 
 def fit_text_classifier(train: DataFrame, classifier: str = "logreg") -> PipelineModel:
@@ -220,6 +239,14 @@ def intervals(
     return both.groupBy(*by).agg(*(F.max(name).alias(name) for name in both.columns if name not in by))
 
 
+def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Scored rows; with ``features`` of the model's words at hand, no text is cut again."""
+    if "features" not in df.columns:
+        return model.transform(df)
+    place = next(i for i, s in enumerate(model.stages) if isinstance(s, StringIndexerModel))
+    return PipelineModel(model.stages[place:]).transform(df)
+
+
 def store_predictions(predictions: DataFrame, key: str, classifier: str, condition: str, path: str) -> DataFrame:
     """Write the key, class indices and names of scored test rows; what was written."""
     folder = f"{path}/classifier={classifier}/condition={condition}"
@@ -235,18 +262,20 @@ def train_and_evaluate(
     condition: str = "clean",
     prepared: tuple[PipelineModel, DataFrame] | None = None,
     keep: tuple[str, str] | None = None,
+    fitted: tuple[PipelineModel, float] | None = None,
 ) -> tuple[PipelineModel, Row]:
     """Fit and evaluate; ``prepared`` is the ``text_features`` of the training rows where they are known.
 
-    With ``keep``, the key column and a folder, the predictions are stored and evaluated as they were written.
+    With ``keep``, the key column and a folder, the predictions are stored and evaluated as they were written. A model
+    that was ``fitted`` before comes with the seconds its fit took, which count; fits side by side took the same seconds.
     """
     started = time.perf_counter()
-    model = fit_classifier(*(prepared or text_features(train)), classifier)
-    predictions = model.transform(test)
+    model, before = fitted or (fit_classifier(*(prepared or text_features(train)), classifier), 0.0)
+    predictions = predicted(model, test)
     if keep:
         predictions = store_predictions(predictions, keep[0], classifier, condition, keep[1])
     scores = evaluate(predictions).first()
-    elapsed = round(time.perf_counter() - started, 2)
+    elapsed = round(before + time.perf_counter() - started, 2)
     return model, Row(
         classifier=classifier,
         condition=condition,
@@ -267,31 +296,36 @@ def run_classifier(
 
     With ``predictions_path`` the predictions behind each metrics row lie there by classifier and condition.
 
-    All three fits take the same words, so the stages in front are fitted once; drawing new labels needs no text. The
-    training texts are read once; the test rows are persisted meanwhile.
+    All three fits take the same words, so the stages in front are fitted once, drawing new labels needs no text, and the
+    fits run side by side. Training and test texts are cut into words once each; only texts that are lost are cut again.
     """
     spark = corpus.sparkSession
     kept = labelled(corpus).select(key, "text", "severity")
     keep = (key, predictions_path) if predictions_path else None
     train, test = split_train_test(kept, key)
-    test = test.persist()
-    try:
-        words, rows = word_features(train)
-        prepared = index_labels(words, rows)
-        model, clean = train_and_evaluate(train, test, "logreg", "clean", prepared, keep)
-        if model_path:
-            model.write().overwrite().save(model_path)
-        _, svm = train_and_evaluate(train, test, "svm", "clean", prepared, keep)
-        dropped = model.transform(drop_out_text(test, key))
-        if keep:
-            dropped = store_predictions(dropped, key, "logreg", "null_20pct", predictions_path)
-        dropped = evaluate(dropped).first()
-        no_text = Row(classifier="logreg", condition="null_20pct", elapsed_sec=None, **dropped.asDict())
-        _, noisy = train_and_evaluate(
-            train, test, "logreg", "noisy_labels_10pct", index_labels(words, relabel(rows, key, labels)), keep
-        )
-    finally:
-        test.unpersist()
+    words, rows = word_features(train)
+    tested = store(words.transform(test).select(key, "severity", "features"), "tested")
+
+    started = time.perf_counter()
+    front, noisy_front = index_labels(words, rows)[0], index_labels(words, relabel(rows, key, labels))[0]
+    named = front.stages[-1].transform(rows).withColumnRenamed("label", "clean")
+    both = noisy_front.stages[-1].transform(relabel(named, key, labels)).withColumnRenamed("label", "noisy")
+    wanted = [(front, "clean", "logreg"), (front, "clean", "svm"), (noisy_front, "noisy", "logreg")]
+    models = fit_classifiers(both.select("clean", "noisy", "features"), wanted)
+    fitted = [(found, time.perf_counter() - started) for found in models]
+
+    model, clean = train_and_evaluate(train, tested, "logreg", "clean", keep=keep, fitted=fitted[0])
+    if model_path:
+        model.write().overwrite().save(model_path)
+    _, svm = train_and_evaluate(train, tested, "svm", "clean", keep=keep, fitted=fitted[1])
+    lost = drop_out_text(tested.withColumn("text", F.lit(None).cast("string")), key)
+    again = words.transform(lost.where(F.col("text").isNotNull()).drop("features")).select(*tested.columns)
+    dropped = predicted(model, lost.where(F.col("text").isNull()).drop("text").unionByName(again))
+    if keep:
+        dropped = store_predictions(dropped, key, "logreg", "null_20pct", predictions_path)
+    dropped = evaluate(dropped).first()
+    no_text = Row(classifier="logreg", condition="null_20pct", elapsed_sec=None, **dropped.asDict())
+    _, noisy = train_and_evaluate(train, tested, "logreg", "noisy_labels_10pct", keep=keep, fitted=fitted[2])
     rows = [tuple(r[c] for c in ("classifier", "condition", "accuracy", "f1", "elapsed_sec")) for r in (clean, svm, no_text, noisy)]
     return model, spark.createDataFrame(
         rows, "classifier string, condition string, accuracy double, f1 double, elapsed_sec double"
