@@ -252,7 +252,7 @@ def packed_rows(rows: DataFrame, weights: np.ndarray, labels: Sequence[str], num
     if spark.conf.get(BATCH_LIMIT, None) is None:
         spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     cores = spark.sparkContext.defaultParallelism
-    tasks = max(min(-(-number // ROWS_PER_TASK), 2 * cores), -(-number // MOST_ROWS), 1)
+    tasks = max(min(-(-number // ROWS_PER_TASK), cores), -(-number // MOST_ROWS), 1)
     blocks = parts.mapInArrow(_packed(weights, labels), "block binary")
     dealt = blocks.withColumn("_no", F.monotonically_increasing_id()).repartition(tasks, "_no").select("block")
     return dealt.rdd.map(lambda row: bytes(row[0])).persist(StorageLevel.MEMORY_AND_DISK)
